@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,11 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are no longer referenced; it waits for the JVM's collector."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes staged tables that nothing reads any more."""
         for name in names:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import MOST_BROADCAST, Scratch, without
 from .components import components
-from .shingles import digest, packed, sets_of, unpacked
+from .shingles import digest, packed, sets_of, sketch, unlike, unpacked
 
 NEED, OF = 75, 100  # sets link when OF * shared >= NEED * union
+PAIRS_EACH = 8  # pairs for each list row up to which all are verified at once
 FREQUENT = 1 << 17  # rows of the table of frequent shingles
-LEADERS = 4
+LEADERS = 4  # of each list and round; the first round takes one
 
 
 def prefix_length(n: int) -> int:
@@ -28,14 +29,14 @@ def may_link(a: Column, b: Column) -> Column:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """One pass over the texts.  Rows with a null token: doc_id, gid (identity of its shingle set), n (its size).
+    """One pass over the texts.  Rows with a null token: doc_id, gid (identity of its shingle set), n (its size), sketch.
 
     Rows with a token: a shingle that many texts of one batch hold, and how many (n).
     """
 
     def task(batches):
         for batch in batches:
-            gids, sizes, pool, held = [], [], [], 0
+            gids, sizes, sketches, pool, held = [], [], [], [], 0
             tokens, counts = [], []
 
             def spill():
@@ -47,6 +48,7 @@ def survey(docs: DataFrame) -> DataFrame:
             for s in sets_of(batch.column(1)):
                 gids.append(digest(s) if len(s) else None)
                 sizes.append(len(s))
+                sketches.append(sketch(s) if len(s) else None)
                 pool.append(s)
                 held += len(s)
                 if held > 2_000_000:
@@ -63,11 +65,12 @@ def survey(docs: DataFrame) -> DataFrame:
                     "doc_id": ids,
                     "gid": pa.concat_arrays([pa.array(gids, pa.int64()), pa.nulls(len(token), pa.int64())]),
                     "n": pa.array(np.concatenate([np.array(sizes, np.int64), count]).astype(np.int32)),
+                    "sketch": pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(len(token), pa.binary())]),
                     "token": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(token, pa.int64())]),
                 }
             )
 
-    return docs.mapInArrow(task, "doc_id long, gid long, n int, token long")
+    return docs.mapInArrow(task, "doc_id long, gid long, n int, sketch binary, token long")
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -158,12 +161,33 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, many: bool) -> DataFrame:
     return texts.mapInArrow(task, "gid long, n int, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """The (u, v) of distinct ``pairs`` whose whole sets link; written."""
-    one = sets.select(F.col("gid").alias("u"), F.col("hashes").alias("u_hashes"))
-    two = sets.select(F.col("gid").alias("v"), F.col("hashes").alias("v_hashes"))
-    # v is the leader, of which there are few: the other side's set travels with the pair
-    whole = pairs.join(one, "u").join(two, "v").select("u", "v", "u_hashes", "v_hashes")
+def with_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(u, v, u_x, v_x): both sides' values of ``column`` (gid, x) for each of the distinct, written ``pairs``.
+
+    v is the leader, of which there are few: the other side's value travels with the pair.
+    """
+    small = F.broadcast if pairs.count() <= MOST_BROADCAST else lambda df: df
+    one = table.select(F.col("gid").alias("u"), F.col(column).alias("u_x"))
+    two = table.select(F.col("gid").alias("v"), F.col(column).alias("v_x")).join(small(pairs.select("v").distinct()), "v", "left_semi")
+    return one.join(small(pairs), "u").hint("merge").join(two.hint("merge"), "v").select("u", "v", "u_x", "v_x")
+
+
+def close(pairs: DataFrame) -> DataFrame:
+    """The (u, v) whose sketches allow a similarity of NEED / OF; rows (u, v, u_x, v_x, total) with both sizes' sum."""
+
+    def task(batches):
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            total = batch.column(4).to_pylist()
+            # shared >= need * union means unlike * (of + need) <= (of - need) * (sum of sizes)
+            keep = [(OF + NEED) * unlike(x, y) <= (OF - NEED) * t for x, y, t in zip(a, b, total)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(task, "u long, v long")
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    """The (u, v) whose whole sets link; rows (u, v, u_x, v_x)."""
 
     def task(batches):
         last = (None, None)
@@ -183,7 +207,28 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, tag: str) -> D
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return scratch.write(whole.mapInArrow(task, "u long, v long"), tag)
+    return pairs.mapInArrow(task, "u long, v long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """The (u, v) of distinct ``pairs`` whose whole sets link; written.
+
+    Sketches, which can only overrate a pair, leave few pairs.  Only their texts are read again for whole sets.
+    """
+    pairs = scratch.write(pairs, f"{tag}-pairs")
+    sided = with_sides(pairs, firsts.withColumn("x", F.struct("n", "sketch")), "x")
+    sided = sided.select("u", "v", F.col("u_x.sketch").alias("u_x"), F.col("v_x.sketch").alias("v_x"), (F.col("u_x.n") + F.col("v_x.n")).cast("long").alias("total"))
+    pairs = scratch.write(close(sided), f"{tag}-close")
+    scratch.drop(f"{tag}-pairs")
+    gids = pairs.select(F.col("u").alias("gid")).unionByName(pairs.select(F.col("v").alias("gid"))).distinct()
+    wanted = scratch.write(gids.join(firsts, "gid").select("first_id"), f"{tag}-wanted")
+    sets = scratch.write(candidate_sets(docs, wanted, wanted.count() > MOST_BROADCAST), f"{tag}-sets")
+    if sets.count() > sets.select("gid").distinct().count():  # rows repeated with one id and text
+        sets = scratch.write(sets.dropDuplicates(["gid"]), f"{tag}-sets-once")
+    out = scratch.write(linked(with_sides(pairs, sets, "hashes")), f"{tag}-links")
+    scratch.drop(f"{tag}-sets", f"{tag}-sets-once", f"{tag}-close")
+    scratch.release()
+    return out
 
 
 def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
@@ -197,7 +242,7 @@ def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
     The join is exact.  Equal sets collapse first; sets with equal prefix and size collapse into groups; groups that share
     a prefix shingle are candidates, by size.  Lists of candidates are expanded to their sets and verified against a few
     leaders for each list; after that only pairs of different components are left to verify.  Such rounds go on until
-    those pairs are no more than the lists are long, or ``rounds`` is over; then all of them are verified.
+    those pairs are no more than PAIRS_EACH for each row of the lists, or ``rounds`` is over; then all of them are verified.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
@@ -211,7 +256,8 @@ def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = entries.repartition(parts, "token").sortWithinPartitions("token", "owner")
     entries = scratch.write(shared_only(entries), "shared")
-    firsts = ids.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
+    scratch.release()
+    firsts = seen.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     firsts = scratch.write(firsts, "firsts")
     members = entries.where("token < 0").select((-F.col("token") - 1).alias("gid"), "owner").distinct()
     groups = members.groupBy("owner").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
@@ -219,10 +265,7 @@ def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
     keys = keys.unionByName(groups.select(F.col("owner").alias("key"), "owner"))
     lists = keys.join(members, "owner").join(firsts.select("gid", "n"), "gid").select("key", "gid", "n")
     lists = scratch.write(lists, "lists")
-    wanted = lists.select("gid").distinct().join(firsts, "gid").select("first_id")
-    wanted = scratch.write(wanted, "wanted")
-    sets = candidate_sets(docs, wanted, wanted.count() > MOST_BROADCAST)
-    sets = scratch.write(sets.dropDuplicates(["gid"]), "sets")
+    scratch.drop("shared")
     edges, labels = None, None
     for at in range(rounds + 1):
         if labels is None:
@@ -238,23 +281,24 @@ def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
             left = each.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
             if not left["pairs"]:
                 break
-            if left["pairs"] <= 2 * left["m"] or at == rounds:
+            if left["pairs"] <= PAIRS_EACH * left["m"] or at == rounds:
                 a, b = open_.toDF(*(f"a_{c}" for c in open_.columns)), open_.toDF(*(f"b_{c}" for c in open_.columns))
                 pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_label") < F.col("b_label")) & may_link(F.col("a_n"), F.col("b_n")))
                 pairs = pairs.select(F.least("a_gid", "b_gid").alias("v"), F.greatest("a_gid", "b_gid").alias("u"))
-                new = verified(scratch.write(pairs.distinct(), f"pairs-{at}"), sets, scratch, f"links-{at}")
+                new = verified(pairs.distinct(), docs, firsts, scratch, f"last-{at}")
                 edges = new if edges is None else edges.unionByName(new)
                 labels = components(edges, scratch, f"last-{at}")
                 break
-        best = lambda i: F.min(F.struct(F.xxhash64("gid", F.lit(at * LEADERS + i)).alias("h"), F.col("gid").alias("gid"), F.col("label").alias("label"), F.col("n").alias("n")))
-        leaders = open_.groupBy("key").agg(*(best(i).alias(f"l{i}") for i in range(LEADERS)))
-        leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))).cast("array<struct<h:bigint,gid:bigint,label:bigint,n:int>>"))).alias("l"))
+        many = LEADERS if at else 1
+        best = lambda i: F.min(F.struct(F.xxhash64("gid", F.lit(LEADERS * at + i)).alias("h"), F.col("gid").alias("gid"), F.col("label").alias("label"), F.col("n").alias("n")))
+        leaders = open_.groupBy("key").agg(*(best(i).alias(f"l{i}") for i in range(many)))
+        leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(many))).cast("array<struct<h:bigint,gid:bigint,label:bigint,n:int>>"))).alias("l"))
         leaders = leaders.select("key", F.col("l.gid").alias("v"), F.col("l.label").alias("v_label"), F.col("l.n").alias("v_n")).distinct()
         leaders = scratch.write(leaders, f"leaders-{at}")
         pairs = open_.join(leaders, "key").where((F.col("label") != F.col("v_label")) & may_link(F.col("n"), F.col("v_n")))
         # a pair of two leaders counts once
         pairs = pairs.select(F.col("gid").alias("u"), "v").distinct()
-        new = verified(scratch.write(pairs, f"pairs-{at}"), sets, scratch, f"links-{at}")
+        new = verified(pairs, docs, firsts, scratch, f"round-{at}")
         edges = new if edges is None else edges.unionByName(new)
         labels = components(edges, scratch, f"round-{at}")
     return assigned(ids, firsts, labels, scratch)

@@ -120,3 +120,23 @@ def unpacked(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
     out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the hashes by place in a bitmap of at least two bits a hash, a power of two in all.
+
+    Two bitmaps, the longer one folded, differ in no more bits than their sets have unlike members.
+    """
+    bits = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    parity = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of members that only one of the two sets has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
