@@ -14,6 +14,10 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Narrow rows to a file of a staged table.
+ROWS_EACH = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -42,8 +46,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``rows``: a bound of the table's narrow rows, where known; so many files are written as these need."""
         schema = df.schema
+        if rows is not None:
+            df = df.coalesce(1 + rows // ROWS_EACH)
         df.write.parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """(node, label) for every node of ``edges`` (u, v: long): nodes share a label exactly if edges connect them.
+def components(edges: DataFrame, scratch: Scratch, tag: str, rows: int) -> DataFrame:
+    """(node, label) for every node of ``edges`` (u, v: long; at most ``rows`` of them): nodes share a label exactly if edges connect them.
 
     Each round maps every node to the smallest of itself and its neighbours and keeps the edges between the images; a
     round at least halves the nodes that still have edges, so there are at most log2(nodes) of them.  Every table is
@@ -17,20 +17,20 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """
     labels = None
     at = 0
-    edges = scratch.write(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{tag}-edges-0")
+    edges = scratch.write(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{tag}-edges-0", rows)
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("image"))
-        step = scratch.write(step, f"{tag}-step-{at}")
+        step = scratch.write(step, f"{tag}-step-{at}", 2 * rows)
         one, two = step.toDF("u", "a"), step.toDF("v", "b")
         moved = edges.join(one, "u").join(two, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        edges = scratch.write(moved.distinct(), f"{tag}-edges-{at + 1}")
+        edges = scratch.write(moved.distinct(), f"{tag}-edges-{at + 1}", rows)
         if labels is None:
             labels = step.toDF("node", "label")
         else:
             follow = step.toDF("label", "image")
             labels = labels.join(follow, "label", "left").select("node", F.coalesce("image", "label").alias("label"))
-        labels = scratch.write(labels, f"{tag}-labels-{at}")
+        labels = scratch.write(labels, f"{tag}-labels-{at}", 2 * rows)
         at += 1
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

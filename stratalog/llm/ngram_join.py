@@ -14,7 +14,9 @@ from .components import components
 from .shingles import digest, packed, sets_of, sketch, unlike, unpacked
 
 NEED, OF = 75, 100  # sets link when OF * shared >= NEED * union
-PAIRS_EACH = 8  # pairs for each list row up to which all are verified at once
+SMALL_LIST = 24  # sets up to which a list's open pairs are joined; longer lists are compared in blocks
+BLOCK = 1024
+HINTS = 16
 FREQUENT = 1 << 17  # rows of the table of frequent shingles
 LEADERS = 4  # of each list and round; the first round takes one
 
@@ -186,6 +188,75 @@ def close(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(task, "u long, v long")
 
 
+def folded(rows: list[bytes], size: int) -> np.ndarray:
+    out = []
+    for raw in rows:
+        x = np.frombuffer(raw, np.uint8)
+        while len(x) > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out).view(np.uint64)
+
+
+def close_in_block(key, gid, label, n, sketches, hints, left, right):
+    """(u, v) of the pairs of one block that are of different labels and pass sizes and sketches.
+
+    A pair whose hints, the least keys of each side's long lists, share one comes from the list of the least shared.
+    """
+    size = np.array([len(x) for x in sketches])
+    for a in np.unique(size[left]):
+        for b in np.unique(size[right]):
+            i, j = left[size[left] == a], right[size[right] == b]
+            x, y = (folded([sketches[k] for k in at], int(min(a, b))) for at in (i, j))
+            for row, bits in zip(i.tolist(), x):
+                low, high = np.minimum(n[row], n[j]), np.maximum(n[row], n[j])
+                maybe = np.flatnonzero((label[j] != label[row]) & (gid[j] < gid[row]) & (OF * low >= NEED * high))
+                if len(maybe):
+                    apart = np.bitwise_count(y[maybe] ^ bits).sum(1, dtype=np.int64)
+                    for k in j[maybe[(OF + NEED) * apart <= (OF - NEED) * (n[row] + n[j[maybe]])]].tolist():
+                        if min(hints[row] & hints[k], default=key) == key:
+                            yield int(gid[row]), int(gid[k])
+
+
+def long_lists(open_: DataFrame, sizes: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(u, v) of the close pairs of different labels in lists over SMALL_LIST, compared in blocks of about BLOCK sets.
+
+    A list of m sets is dealt into m / BLOCK parts, and each pair of parts is compared by itself, on any worker.
+    """
+    parts = (1 + F.floor(F.col("m") / BLOCK)).cast("int")
+    rows = open_.select("key", "gid", "label", "n").join(sizes.where(F.col("m") > SMALL_LIST).select("key", parts.alias("parts")), "key")
+    hints = rows.groupBy("gid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, HINTS).alias("hints"))
+    rows = rows.join(hints.join(firsts.select("gid", "sketch"), "gid"), "gid").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "gid", "label", F.col("n").cast("long").alias("n"), "sketch", "hints")
+    count = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(count, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def block(table: pa.Table) -> pa.RecordBatch:
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        part, gid, label, n = (table[c].to_numpy() for c in ("part", "gid", "label", "n"))
+        one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        sides = [(one, two)] if low == high else [(one, two), (two, one)]
+        key, sketches, hints = table["key"][0].as_py(), table["sketch"].to_pylist(), [set(h) for h in table["hints"].to_pylist()]
+        out = [p for a, b in sides for p in close_in_block(key, gid, label, n, sketches, hints, a, b)] if len(one) and len(two) else []
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], names=["u", "v"])
+
+    def task(batches):
+        held = None  # rows of the block that may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            ids = np.stack([table[c].to_numpy() for c in ("key", "low", "high")])
+            cut = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist()]
+            for a, b in zip(cut, cut[1:]):
+                yield block(table.slice(a, b - a))
+            held = table.slice(cut[-1])
+        if held is not None and held.num_rows:
+            yield block(held)
+
+    return rows.mapInArrow(task, "u long, v long")
+
+
 def linked(pairs: DataFrame) -> DataFrame:
     """The (u, v) whose whole sets link; rows (u, v, u_x, v_x)."""
 
@@ -210,28 +281,30 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(task, "u long, v long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """The (u, v) of distinct ``pairs`` whose whole sets link; written.
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, scratch: Scratch, tag: str, rows: int) -> DataFrame:
+    """The (u, v) of at most ``rows`` distinct ``pairs`` whose whole sets link; written.
 
     Sketches, which can only overrate a pair, leave few pairs.  Only their texts are read again for whole sets.
     """
-    pairs = scratch.write(pairs, f"{tag}-pairs")
+    pairs = scratch.write(pairs, f"{tag}-pairs", rows)
+    rows = pairs.count()
     sided = with_sides(pairs, firsts.withColumn("x", F.struct("n", "sketch")), "x")
     sided = sided.select("u", "v", F.col("u_x.sketch").alias("u_x"), F.col("v_x.sketch").alias("v_x"), (F.col("u_x.n") + F.col("v_x.n")).cast("long").alias("total"))
-    pairs = scratch.write(close(sided), f"{tag}-close")
+    pairs = scratch.write(close(sided.coalesce(1 + rows // 20_000)), f"{tag}-close")
+    rows = pairs.count()
     scratch.drop(f"{tag}-pairs")
     gids = pairs.select(F.col("u").alias("gid")).unionByName(pairs.select(F.col("v").alias("gid"))).distinct()
-    wanted = scratch.write(gids.join(firsts, "gid").select("first_id"), f"{tag}-wanted")
+    wanted = scratch.write(gids.join(firsts, "gid").select("first_id"), f"{tag}-wanted", 2 * rows)
     sets = scratch.write(candidate_sets(docs, wanted, wanted.count() > MOST_BROADCAST), f"{tag}-sets")
     if sets.count() > sets.select("gid").distinct().count():  # rows repeated with one id and text
         sets = scratch.write(sets.dropDuplicates(["gid"]), f"{tag}-sets-once")
-    out = scratch.write(linked(with_sides(pairs, sets, "hashes")), f"{tag}-links")
+    out = scratch.write(linked(with_sides(pairs, sets, "hashes").coalesce(1 + rows // 2000)), f"{tag}-links")
     scratch.drop(f"{tag}-sets", f"{tag}-sets-once", f"{tag}-close")
     scratch.release()
     return out
 
 
-def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
+def link(docs: DataFrame, rounds: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id; repeated rows return as often as they occur.
 
     Shingles are five neighbouring words, A to Z in lower case; a text of fewer words is one shingle.  Texts link when
@@ -241,8 +314,8 @@ def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
 
     The join is exact.  Equal sets collapse first; sets with equal prefix and size collapse into groups; groups that share
     a prefix shingle are candidates, by size.  Lists of candidates are expanded to their sets and verified against a few
-    leaders for each list; after that only pairs of different components are left to verify.  Such rounds go on until
-    those pairs are no more than PAIRS_EACH for each row of the lists, or ``rounds`` is over; then all of them are verified.
+    leaders for each list, in ``rounds`` rounds, of which only the first takes in lists up to SMALL_LIST.  After that all
+    pairs of different components are verified: in short lists by a join, in long ones in blocks.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
@@ -259,56 +332,56 @@ def link(docs: DataFrame, rounds: int = 5) -> DataFrame:
     scratch.release()
     firsts = seen.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     firsts = scratch.write(firsts, "firsts")
+    texts = firsts.count()
+    rows = entries.count()
     members = entries.where("token < 0").select((-F.col("token") - 1).alias("gid"), "owner").distinct()
     groups = members.groupBy("owner").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     keys = entries.where("token >= 0").select(F.col("token").alias("key"), "owner")
     keys = keys.unionByName(groups.select(F.col("owner").alias("key"), "owner"))
     lists = keys.join(members, "owner").join(firsts.select("gid", "n"), "gid").select("key", "gid", "n")
-    lists = scratch.write(lists, "lists")
+    lists = scratch.write(lists, "lists", rows)
+    rows = lists.count()
     scratch.drop("shared")
     edges, labels = None, None
     for at in range(rounds + 1):
         if labels is None:
-            open_ = lists.withColumn("label", F.col("gid"))
-            mixed_keys = None
+            open_, many = lists.withColumn("label", F.col("gid")), 1
         else:
             now = lists.join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left").withColumn("label", F.coalesce("label", "gid"))
-            now = scratch.write(now, f"labelled-{at}")
-            mixed_keys = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-            open_ = scratch.write(now.join(scratch.write(mixed_keys, f"keys-{at}"), "key"), f"open-{at}")
-            each = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-            each = each.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"), F.sum("m").alias("m"))
-            left = each.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
-            if not left["pairs"]:
+            now = scratch.write(now, f"labelled-{at}", rows)
+            sizes = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("key", "m")
+            sizes = scratch.write(sizes, f"keys-{at}", rows)
+            long_ = sizes.where(F.col("m") > SMALL_LIST).count()
+            if at == rounds or not long_:
                 break
-            if left["pairs"] <= PAIRS_EACH * left["m"] or at == rounds:
-                a, b = open_.toDF(*(f"a_{c}" for c in open_.columns)), open_.toDF(*(f"b_{c}" for c in open_.columns))
-                pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_label") < F.col("b_label")) & may_link(F.col("a_n"), F.col("b_n")))
-                pairs = pairs.select(F.least("a_gid", "b_gid").alias("v"), F.greatest("a_gid", "b_gid").alias("u"))
-                new = verified(pairs.distinct(), docs, firsts, scratch, f"last-{at}")
-                edges = new if edges is None else edges.unionByName(new)
-                labels = components(edges, scratch, f"last-{at}")
-                break
-        many = LEADERS if at else 1
+            open_, many = now.join(sizes.where(F.col("m") > SMALL_LIST).select("key"), "key"), LEADERS
         best = lambda i: F.min(F.struct(F.xxhash64("gid", F.lit(LEADERS * at + i)).alias("h"), F.col("gid").alias("gid"), F.col("label").alias("label"), F.col("n").alias("n")))
         leaders = open_.groupBy("key").agg(*(best(i).alias(f"l{i}") for i in range(many)))
         leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(many))).cast("array<struct<h:bigint,gid:bigint,label:bigint,n:int>>"))).alias("l"))
         leaders = leaders.select("key", F.col("l.gid").alias("v"), F.col("l.label").alias("v_label"), F.col("l.n").alias("v_n")).distinct()
-        leaders = scratch.write(leaders, f"leaders-{at}")
+        leaders = scratch.write(leaders, f"leaders-{at}", many * rows)
         pairs = open_.join(leaders, "key").where((F.col("label") != F.col("v_label")) & may_link(F.col("n"), F.col("v_n")))
-        # a pair of two leaders counts once
         pairs = pairs.select(F.col("gid").alias("u"), "v").distinct()
-        new = verified(pairs, docs, firsts, scratch, f"round-{at}")
+        new = verified(pairs, docs, firsts, scratch, f"round-{at}", many * rows)
         edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges, scratch, f"round-{at}")
-    return assigned(ids, firsts, labels, scratch)
-
-
-def assigned(ids: DataFrame, firsts: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+        labels = components(edges, scratch, f"round-{at}", edges.count())
+    if labels is not None and not sizes.isEmpty():
+        short = now.join(sizes.where(F.col("m") <= SMALL_LIST).select("key"), "key")
+        a, b = (short.toDF(*(f"{side}_{c}" for c in short.columns)) for side in "ab")
+        pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_label") < F.col("b_label")) & may_link(F.col("a_n"), F.col("b_n")))
+        pairs = pairs.select(F.greatest("a_gid", "b_gid").alias("u"), F.least("a_gid", "b_gid").alias("v"))
+        if long_:
+            pairs = pairs.unionByName(long_lists(now, sizes, firsts))
+        edges = edges.unionByName(verified(pairs.distinct(), docs, firsts, scratch, "last", SMALL_LIST * rows))
+        labels = components(edges, scratch, "last", edges.count())
+    return assigned(ids, firsts, labels, scratch, texts)
+
+
+def assigned(ids: DataFrame, firsts: DataFrame, labels: DataFrame, scratch: Scratch, texts: int) -> DataFrame:
     known = firsts.join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left")
-    known = scratch.write(known.select("gid", F.coalesce("label", "gid").alias("label"), "first_id"), "known")
-    least = scratch.write(known.groupBy("label").agg(F.min("first_id").alias("least_id")), "least")
-    known = scratch.write(known.join(least, "label").select("gid", "least_id"), "components")
+    known = scratch.write(known.select("gid", F.coalesce("label", "gid").alias("label"), "first_id"), "known", texts)
+    least = scratch.write(known.groupBy("label").agg(F.min("first_id").alias("least_id")), "least", texts)
+    known = scratch.write(known.join(least, "label").select("gid", "least_id"), "components", texts)
     out = ids.join(known, "gid", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
