@@ -43,14 +43,15 @@ class FactorizationMachine:
     w: np.ndarray
     v: np.ndarray
 
+    def logit(self, found) -> float:
+        at = sorted(self.index[t] for t in found if t in self.index)
+        if not at:
+            return self.bias
+        v = self.v[at]
+        return self.bias + float(self.w[at].sum()) + 0.5 * float((v.sum(0) ** 2).sum() - (v**2).sum())
+
     def score(self, text: str) -> float:
-        at = [self.index[t] for t in text_terms(text) if t in self.index]
-        z = self.bias
-        if at:
-            at.sort()
-            v = self.v[at]
-            z += float(self.w[at].sum()) + 0.5 * float((v.sum(0) ** 2).sum() - (v**2).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.logit(text_terms(text)), -30, 30))))
 
 
 def select_terms(rows: list[np.ndarray], labels: np.ndarray, most: int, least: int = 4) -> np.ndarray:
@@ -68,7 +69,7 @@ def select_terms(rows: list[np.ndarray], labels: np.ndarray, most: int, least: i
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, most: int = 2048, factors: int = 8, steps: int = 300, decay: float = 1e-5, seed: int = 5) -> FactorizationMachine:
-    """Full-batch Adam on the log loss with L2 decay; both classes weigh the same, so a score is for even odds."""
+    """Full-batch Adam on the log loss with L2 decay; both classes weigh the same, so scores are for even odds."""
     chosen = select_terms(rows, labels, most)
     index = {int(t): i for i, t in enumerate(chosen)}
     x = np.zeros((len(rows), len(chosen)), dtype=np.float32)
@@ -126,7 +127,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, seed: int =
     y = np.array([r[1] for r in rows], dtype=np.int64)
     if len(rows) == 0 or y.min() == y.max():
         return FactorizationMachine({}, float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, 1)))
-    return fit([np.frombuffer(r[2], dtype=np.int32) for r in rows], y, seed=seed)
+    terms_of = [np.frombuffer(r[2], dtype=np.int32) for r in rows]
+    machine = fit(terms_of, y, seed=seed)
+    machine.bias += shift(np.array([machine.logit(t.tolist()) for t in terms_of]), y, rate)
+    return machine
+
+
+def shift(z: np.ndarray, y: np.ndarray, rate: float, threshold: float = 0.3) -> float:
+    """What to add to logits for even odds: from the log odds of ``rate`` to 0, what errs least at ``threshold`` there.
+
+    The sample's classes count by their true rates.  Where the terms tell the classes apart nothing is added; where they
+    tell nothing, the score is the rate.
+    """
+    tried = np.linspace(0, np.log(rate / (1 - rate)), 11)
+    at = np.log(threshold / (1 - threshold))
+    errors = [rate * (z[y == 1] + s < at).mean() + (1 - rate) * (z[y == 0] + s >= at).mean() for s in tried]
+    return float(tried[int(np.argmin(errors))])
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
