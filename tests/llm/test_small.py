@@ -366,5 +366,7 @@ def test_pipeline(spark, sf_dir):
             want = jaccard_components([(r["doc_id"], r["text"]) for r in rows(before)])
             assert sorted(r["doc_id"] for r in rows(docs)) == sorted(d for d, _, c in want if d == c)
         if name == "packing":
-            assert docs.select(F.sum("length")).first()[0] > 0
-            assert rows_of(docs.columns, docs.select("doc_id", "doc_tokens").collect())
+            whole = docs.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s"))
+            copies = {r["doc_id"]: r["count"] for r in rows(before.groupBy("doc_id").count())}
+            assert {r["doc_id"]: r["n"] for r in rows(whole)} == {r["doc_id"]: r["doc_tokens"] * copies[r["doc_id"]] for r in rows(whole)}
+            assert {r["doc_id"] for r in rows(whole)} == set(copies)
