@@ -66,6 +66,25 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(task):
+    """A task for mapInArrow that gives freed memory back to the system when it ends; Python workers live on."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def text_of(column: Column | str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, Scratch, without
+from .common import MOST_BROADCAST, Scratch, trimmed, without
 from .components import components
 from .shingles import digest, packed, sets_of, sketch, unlike, unpacked
 
@@ -53,7 +53,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 sketches.append(sketch(s) if len(s) else None)
                 pool.append(s)
                 held += len(s)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     spill()
                     pool, held = [], 0
             if held:
@@ -72,7 +72,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(task, "doc_id long, gid long, n int, sketch binary, token long")
+    return docs.mapInArrow(trimmed(task), "doc_id long, gid long, n int, sketch binary, token long")
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -96,7 +96,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if gid in recent:  # a copy of a recent text
                     continue
                 recent[gid] = None
-                if len(recent) > 100_000:
+                if len(recent) > 20_000:
                     recent.popitem(last=False)
                 s = s.astype(np.int64)
                 place = np.zeros(len(s), dtype=np.int64)
@@ -115,7 +115,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "owner"])
 
-    return docs.select("text").mapInArrow(task, "token long, owner long")
+    return docs.select("text").mapInArrow(trimmed(task), "token long, owner long")
 
 
 def shared_only(entries: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def shared_only(entries: DataFrame) -> DataFrame:
         if held.shape[1] and (held[0, 0] < 0 or (before is not None and before == held[0, 0])):
             yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["token", "owner"])
 
-    return entries.mapInArrow(task, "token long, owner long")
+    return entries.mapInArrow(trimmed(task), "token long, owner long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, many: bool) -> DataFrame:
@@ -160,7 +160,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, many: bool) -> DataFrame:
                 gid, n, raw = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["gid", "n", "hashes"])
 
-    return texts.mapInArrow(task, "gid long, n int, hashes binary")
+    return texts.mapInArrow(trimmed(task), "gid long, n int, hashes binary")
 
 
 def with_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -185,7 +185,7 @@ def close(pairs: DataFrame) -> DataFrame:
             keep = [(OF + NEED) * unlike(x, y) <= (OF - NEED) * t for x, y, t in zip(a, b, total)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(task, "u long, v long")
+    return pairs.mapInArrow(trimmed(task), "u long, v long")
 
 
 def folded(rows: list[bytes], size: int) -> np.ndarray:
@@ -254,7 +254,7 @@ def long_lists(open_: DataFrame, sizes: DataFrame, firsts: DataFrame) -> DataFra
         if held is not None and held.num_rows:
             yield block(held)
 
-    return rows.mapInArrow(task, "u long, v long")
+    return rows.mapInArrow(trimmed(task), "u long, v long")
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def linked(pairs: DataFrame) -> DataFrame:
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return pairs.mapInArrow(task, "u long, v long")
+    return pairs.mapInArrow(trimmed(task), "u long, v long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, scratch: Scratch, tag: str, rows: int) -> DataFrame:
