@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 16  # bytes hashed at a time; tables and passes over them stay in the cache
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
