@@ -370,3 +370,15 @@ def test_pipeline(spark, sf_dir):
             copies = {r["doc_id"]: r["count"] for r in rows(before.groupBy("doc_id").count())}
             assert {r["doc_id"]: r["n"] for r in rows(whole)} == {r["doc_id"]: r["doc_tokens"] * copies[r["doc_id"]] for r in rows(whole)}
             assert {r["doc_id"] for r in rows(whole)} == set(copies)
+
+
+def test_words_around_the_chunk_size_hash_alike_anywhere():
+    import pyarrow as pa
+
+    from stratalog.llm import shingles
+
+    for size in (shingles.CHUNK - 1, shingles.CHUNK, shingles.CHUNK + 1, 3 * shingles.CHUNK):
+        phrase = "a b " + "X" * size + " c d"
+        alone, low, later = shingles.sets_of(pa.array([phrase, phrase.lower(), "one two three\tfour five " + phrase]))
+        assert len(alone) == 1 and (alone == low).all()
+        assert len(later) == 6 and alone[0] in later
