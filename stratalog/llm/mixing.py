@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import MOST_BROADCAST, Scratch, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # the mix holds 3/2 of all words
@@ -92,22 +92,24 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 200_00
     return taken
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per row of ``docs``, repeated ones too: doc_id, source, size, source_size, target, taken, copies.
+def keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with the source as a key that is never null, and each row's rank and piece, which follow from its id."""
+    rank = F.xxhash64(F.lit(seed), "doc_id")
+    return docs.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).withColumn("rank", rank).withColumn("piece", F.pmod(rank, F.lit(PIECES)))
 
-    Each source takes all of its documents floor(target / source size) times, and of the rest of its budget as many
-    documents of each length as ``fit`` found, those with the smallest seeded hash of their ids first.  taken is copies
-    times size.  Null texts have size 0; documents of size 0 cost nothing and are taken once.  A null source is a
-    source of its own, the last.  An empty table gives no rows.  Reruns choose the same documents.
+
+def ranked(docs: DataFrame, seed: int, weights: tuple[int, ...]) -> DataFrame:
+    """One narrow row per row of ``docs``, placed among those of its (key, size, piece), with the plan for these.
+
+    times: copies of each; extra: whether one more is taken.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.write(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    rank = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sizes.select("doc_id", "source", "size", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")).alias("key"), rank.alias("rank"), F.pmod(rank, F.lit(PIECES)).alias("piece"))
+    rows = keyed(sizes, seed)
     goals = scratch.write(targets(sizes, weights), "goals")
     pieces = scratch.write(rows.groupBy("key", "size", "piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
     lengths = pieces.groupBy("key", "size").agg(F.sum("n").alias("n"))
-    keyed = goals.select(F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")).alias("key"), "source_size", "target")
+    goals = goals.select(F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")).alias("key"), "source_size", "target")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         whole, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
@@ -119,24 +121,46 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) ->
         return group[["key", "size", "source_size", "target", "times", "chosen"]]
 
     # one row for each length of a source: as many as its longest document has words at most
-    plan = lengths.join(keyed, "key").groupBy("key").applyInPandas(choose, "key string, size long, source_size long, target double, times long, chosen long")
+    plan = lengths.join(goals, "key").groupBy("key").applyInPandas(choose, "key string, size long, source_size long, target double, times long, chosen long")
     lower = Window.partitionBy("key", "size").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     plan = pieces.withColumn("lower", F.coalesce(F.sum("n").over(lower), F.lit(0))).join(plan, ["key", "size"])
     plan = scratch.write(plan.withColumn("left", F.col("chosen") - F.col("lower")).select("key", "size", "piece", "source_size", "target", "times", "left"), "plan")
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("key", "size", "piece").orderBy("rank", "doc_id")))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("times") + (F.col("at") <= F.col("left")).cast("long"))
-    out = ranked.join(plan, ["key", "size", "piece"]).withColumn("copies", copies.cast("long"))
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("key", "size", "piece").orderBy("rank", "doc_id")))
+    return placed.join(plan, ["key", "size", "piece"]).withColumn("extra", F.col("at") <= F.col("left"))
+
+
+def copies(times: Column, extra: Column) -> Column:
+    return F.when(F.col("size") == 0, F.lit(1)).otherwise(times + extra.cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """One row per row of ``docs``, repeated ones too: doc_id, source, size, source_size, target, taken, copies.
+
+    Each source takes all of its documents floor(target / source size) times, and of the rest of its budget as many
+    documents of each length as ``fit`` found, those with the smallest seeded hash of their ids first.  taken is copies
+    times size.  Null texts have size 0; documents of size 0 cost nothing and are taken once.  A null source is a
+    source of its own, the last.  An empty table gives no rows.  Reruns choose the same documents.
+    """
+    out = ranked(docs, seed, weights).withColumn("copies", copies(F.col("times"), F.col("extra")))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of the mix with all columns of ``docs``, each as often as it is taken.
 
-    The choice joins back by id, source and size; rows that agree in all three share their copies evenly, rounded.
+    Of the documents of one source and size those up to some (piece, rank, doc_id) are taken once more.  These cuts, one
+    for each source and size, join to the texts, which are moved only if there are too many cuts for a broadcast.  Rows
+    that agree in id, source and size are taken alike: once more if half of them at least are.
     """
-    choice = mix(docs, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    choice = choice.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.round(F.col("copies") / F.col("rows")).cast("int").alias("times"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), word_count("text").alias("size"))
-    on = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    out = rows.join(choice.where("times > 0"), on)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    rows = ranked(docs, seed, WEIGHTS)
+    alike = rows.groupBy("key", "size", "piece", "rank", "doc_id").agg(F.first("times").alias("times"), F.avg(F.col("extra").cast("int")).alias("extra"))
+    last = F.max(F.when(F.col("extra") >= 0.5, F.struct("piece", "rank", "doc_id")))
+    cuts = alike.groupBy("key", "size").agg(F.first("times").alias("times"), last.alias("cut"))
+    cuts = Scratch(docs.sparkSession, "mixed").write(cuts.withColumnsRenamed({"key": "_key", "size": "_size"}), "cuts")
+    if cuts.count() <= MOST_BROADCAST:
+        cuts = F.broadcast(cuts)
+    texts = docs.select(F.struct(*docs.columns).alias("row"), word_count("text").alias("size"), "doc_id", "source")
+    out = keyed(texts, seed).join(cuts, (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")))
+    extra = F.coalesce(F.struct("piece", "rank", "doc_id") <= F.col("cut"), F.lit(False))
+    out = out.withColumn("n", copies(F.col("times"), extra).cast("int")).where("n > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
