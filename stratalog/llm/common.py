@@ -66,8 +66,8 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def trimmed(task):
-    """A task for mapInArrow that gives freed memory back to the system when it ends; Python workers live on."""
+def trimmed(task, *caches):
+    """A task for mapInArrow that empties ``caches`` and gives freed memory back when it ends; Python workers live on."""
 
     def run(batches):
         import ctypes
@@ -75,6 +75,8 @@ def trimmed(task):
         import pyarrow as pa
 
         yield from task(batches)
+        for cache in caches:
+            cache.cache_clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:

@@ -15,6 +15,7 @@ from .secrets import encoding
 
 END_ID = 1
 CAPACITY = 2048
+BATCH = 512  # pieces of an output batch, 4 MB of ids at most
 
 PIECE = T.StructType(
     [
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = 0.03, least:
                 for length in cuts(len(ids), capacity, slack, least):
                     rows += packer.add(doc_id, start, ids[start : start + length], len(ids))
                     start += length
-                if len(rows) >= 4096:
+                if len(rows) >= BATCH:
                     yield as_batch(rows)
                     rows = []
             yield as_batch(rows)

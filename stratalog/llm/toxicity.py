@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, seed: int =
     # at most 2 * per_class rows, so the broadcast is bounded
     texts = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     joined = texts.join(F.broadcast(sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    rows = joined.select("doc_id", "toxic", "text").mapInArrow(trimmed(task), "doc_id long, toxic int, terms binary").collect()
+    rows = joined.select("doc_id", "toxic", "text").mapInArrow(trimmed(task, terms), "doc_id long, toxic int, terms binary").collect()
     rows = sorted({(r["doc_id"], r["toxic"], bytes(r["terms"])) for r in rows})
     y = np.array([r[1] for r in rows], dtype=np.int64)
     if len(rows) == 0 or y.min() == y.max():
@@ -156,7 +156,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.3
             found = [machine.score(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(task), "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(task, terms), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -168,4 +168,4 @@ def keep_clean(docs: DataFrame, machine: FactorizationMachine, threshold: float
         for batch in batches:
             yield batch.filter(pa.array([machine.score(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(trimmed(task), docs.schema)
+    return docs.mapInArrow(trimmed(task, terms), docs.schema)
