@@ -31,7 +31,8 @@ def may_link(a: Column, b: Column) -> Column:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """One pass over the texts.  Rows with a null token: doc_id, gid (identity of its shingle set), n (its size), sketch.
+    """One pass over the texts.  Rows with a null token: doc_id, gid (identity of its shingle set), n (its size), sketch,
+    and the row's third column as mark.
 
     Rows with a token: a shingle that many texts of one batch hold, and how many (n).
     """
@@ -69,10 +70,11 @@ def survey(docs: DataFrame) -> DataFrame:
                     "n": pa.array(np.concatenate([np.array(sizes, np.int64), count]).astype(np.int32)),
                     "sketch": pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(len(token), pa.binary())]),
                     "token": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(token, pa.int64())]),
+                    "mark": pa.concat_arrays([batch.column(2), pa.nulls(len(token), pa.binary())]),
                 }
             )
 
-    return docs.mapInArrow(trimmed(task), "doc_id long, gid long, n int, sketch binary, token long")
+    return docs.mapInArrow(trimmed(task), "doc_id long, gid long, n int, sketch binary, token long, mark binary")
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -317,11 +319,17 @@ def link(docs: DataFrame, rounds: int = 3) -> DataFrame:
     leaders for each list, in ``rounds`` rounds, of which only the first takes in lists up to SMALL_LIST.  After that all
     pairs of different components are verified: in short lists by a join, in long ones in blocks.
     """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    return assigned(*labelled(docs, F.lit(None), scratch, rounds), scratch)
+
+
+def labelled(docs: DataFrame, mark: Column, scratch: Scratch, rounds: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """What :func:`link` finds: rows (doc_id, gid, n, mark) of ``docs``, its distinct sets, the labels of those that link, how many sets."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.cast("binary").alias("mark"))
     seen = scratch.write(survey(docs), "survey")
-    ids = seen.where("token is null").select("doc_id", "gid", "n")
+    docs = docs.drop("mark")
+    ids = seen.where("token is null").select("doc_id", "gid", "n", "mark")
     # a table of fixed size at most: its use as an order needs no exact counts
     common = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
     frequent = np.array([r[0] for r in common.select("token", "n").orderBy("n", "token").select("token").collect()], dtype=np.int64)
@@ -374,10 +382,10 @@ def link(docs: DataFrame, rounds: int = 3) -> DataFrame:
             pairs = pairs.unionByName(long_lists(now, sizes, firsts))
         edges = edges.unionByName(verified(pairs.distinct(), docs, firsts, scratch, "last", SMALL_LIST * rows))
         labels = components(edges, scratch, "last", edges.count())
-    return assigned(ids, firsts, labels, scratch, texts)
+    return ids, firsts, labels, texts
 
 
-def assigned(ids: DataFrame, firsts: DataFrame, labels: DataFrame, scratch: Scratch, texts: int) -> DataFrame:
+def assigned(ids: DataFrame, firsts: DataFrame, labels: DataFrame, texts: int, scratch: Scratch) -> DataFrame:
     known = firsts.join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left")
     known = scratch.write(known.select("gid", F.coalesce("label", "gid").alias("label"), "first_id"), "known", texts)
     least = scratch.write(known.groupBy("label").agg(F.min("first_id").alias("least_id")), "least", texts)
@@ -387,10 +395,31 @@ def assigned(ids: DataFrame, firsts: DataFrame, labels: DataFrame, scratch: Scra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: those whose doc_id is the smallest of its component; all columns.
+    """The rows of ``docs`` that stay: one of each component, and all without a shingle; all columns.
 
-    Rows that share a doc_id stay or go together, and go if any of them does.
+    The smallest doc_id stays, a null one only if all are null, and of one doc_id's texts that with the smallest digest.
+    Rows are told apart by doc_id and text, so other texts of a doc_id that goes, null or not, stay.  Of rows repeated
+    with the same id and text, one stays.
     """
     scratch = Scratch(docs.sparkSession, "ngram-keep")
-    gone = link(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return without(docs, scratch.write(gone, "gone"))
+    digest_ = F.unhex(F.sha2(F.col("text").cast("string"), 256))
+    ids, firsts, labels, texts = labelled(docs, digest_, scratch)
+    rows = ids.where("gid is not null").groupBy("doc_id", "gid", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    rows = scratch.write(rows, "rows")
+    known = firsts.select("gid").join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left")
+    known = scratch.write(known.select("gid", F.coalesce("label", "gid").alias("label")), "known", texts)
+    rows = scratch.write(rows.join(known, "gid").select("label", "doc_id", "mark", "copies"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    best = scratch.write(rows.groupBy("label").agg(first), "best", texts)
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    # repeated rows leave with the others, and one of each comes back
+    found = rows.join(best, "label").withColumn("kept", kept).where("not kept or copies > 1")
+    found = scratch.write(found.select("doc_id", F.col("mark").alias("_mark"), "kept"), "gone")
+    marked = docs.withColumn("_mark", digest_)
+    out = without(marked, found.select("doc_id", "_mark"))
+    again = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_again"))
+    if not again.isEmpty():
+        small = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
+        on = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_mark"] == F.col("_again"))
+        out = out.unionByName(marked.join(small, on, "left_semi").dropDuplicates(["doc_id", "_mark"]))
+    return out.select(*docs.columns)

@@ -387,3 +387,21 @@ def test_words_around_the_chunk_size_hash_alike_anywhere():
         alone, low, later = shingles.sets_of(pa.array([phrase, phrase.lower(), "one two three\tfour five " + phrase]))
         assert len(alone) == 1 and (alone == low).all()
         assert len(later) == 6 and alone[0] in later
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    rng = np.random.default_rng(5)
+    a, b, c, d, e, f, g = (" ".join(f"{w}{k}" for w in rng.choice(WORDS, 60)) for k in "abcdefg")
+    made = [(1, a), (None, a + " more"), (None, b)]  # a null id's near copy goes, its clean text stays
+    made += [(7, c), (9, c + " more"), (9, d)]  # so with a repeated id
+    made += [(None, e), (None, e + " more"), (None, e + " other")]  # null ids alone: one stays
+    made += [(4, f), (4, f + " more")]  # one id for all texts of a component: one stays
+    made += [(3, g), (3, g), (8, ""), (8, ""), (None, None)]  # repeated rows; no words
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    kept = rows(ngram_join.keep_one(table))
+    groups = [{(None, e), (None, e + " more"), (None, e + " other")}, {(4, f), (4, f + " more")}]
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    fixed = Counter([(1, a), (None, b), (7, c), (9, d), (3, g), (8, ""), (8, ""), (None, None)])
+    assert fixed <= got
+    rest = got - fixed
+    assert sum(rest.values()) == 2 and all(sum(rest[x] for x in s) == 1 for s in groups)
