@@ -405,3 +405,20 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     assert fixed <= got
     rest = got - fixed
     assert sum(rest.values()) == 2 and all(sum(rest[x] for x in s) == 1 for s in groups)
+
+
+def test_random_strings_of_all_kinds_are_found():
+    import random
+    import string
+
+    pick = random.Random(7)
+    for letters, length in ((string.ascii_letters, 20), (string.ascii_letters, 40), (string.ascii_letters + string.digits, 16), (string.ascii_letters + string.digits, 20)):
+        made = ["".join(pick.choices(letters, k=length)) for _ in range(1000)]
+        found = [secrets.scan(f"see {x} here") for x in made]
+        assert sum((4, 3, 4 + length) in spans for spans in found) >= 990
+    key = "q7Zx9vKp2LmT4wRs8YbN1cJd"
+    base = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert secrets.scan(f"{base}/{key}") == [(0, 2, 40), (40, 3, 65)]
+    assert secrets.scan(f"{key}/{base}") == [(0, 3, 25), (25, 2, 65)]
+    for clean in ("get_id_of_my_api_to_be_in_db", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "two-thousand-and-twenty-four", "-" * 40):
+        assert not secrets.scan(clean)
