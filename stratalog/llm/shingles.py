@@ -36,22 +36,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place of its first byte) of every word; ``starts_at``: offsets at which a new text begins."""
-    of_byte, space, powers, inverses, _ = tables()
-    gap = space[data]
-    if len(data) == 0 or gap.all():
-        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+def word_spans(gap: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first byte of every word and of the byte after it; ``gap``: bytes that separate words.
+
+    ``starts_at``: offsets at which a new text begins; no word goes on across them.
+    """
+    if len(gap) == 0 or gap.all():
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     first = ~gap
     first[1:] &= gap[:-1]
-    new = starts_at[starts_at < len(data)]
+    new = starts_at[starts_at < len(gap)]
     first[new] = ~gap[new]
-    begins = np.flatnonzero(first)
     last = ~gap
     last[:-1] &= gap[1:]
     before = new[new > 0] - 1
     last[before] = ~gap[before]
-    ends = np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, A to Z as a to z; spans rise and do not overlap."""
+    of_byte, _, powers, inverses, _ = tables()
     out = np.empty(len(begins), dtype=U)
     at = 0
     while at < len(begins):
@@ -68,7 +73,13 @@ def word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np
         b, e = begins[at:stop] - low, ends[at:stop] - low
         out[at:stop] = mixed((sums[e] - sums[b]) * inverses[b])
         at = stop
-    return out, begins
+    return out
+
+
+def word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of its first byte) of every word; ``starts_at``: offsets at which a new text begins."""
+    begins, ends = word_spans(tables()[1][data], starts_at)
+    return span_hashes(data, begins, ends), begins
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

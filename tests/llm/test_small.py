@@ -136,18 +136,46 @@ def test_held_out_labels_are_not_read(spark):
     flipped = [(i, q, 1 - t if crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
     schema = "doc_id long, quality int, toxic int"
     a, b = (toxicity.train(table, spark.createDataFrame(x, schema)) for x in (labels, flipped))
-    assert a.bias == b.bias and a.index == b.index and np.array_equal(a.w, b.w)
-
-
-def test_interactions_are_learned():
-    rng = np.random.default_rng(0)
-    x, y = [], []
-    for _ in range(600):
-        a, b = rng.integers(0, 2, 2)
-        x.append(np.array([i for i, on in ((1, a), (2, b), (3, 1)) if on], dtype=np.int32))
-        y.append(int(a and b))
-    m = toxicity.fit(x, np.array(y))
-    assert m.v.shape[1] == 8 and {1, 2} <= set(m.index)
+    assert a.bias == b.bias and np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v)
+
+
+def insult_and_group(seed, n, others=10):
+    """Toxic where an insult meets the group it is aimed at; each of the four words alone says nothing."""
+    rng = np.random.default_rng(seed)
+    rows, labels = [], []
+    for _ in range(n):
+        insult, group = rng.integers(0, 2, 2)
+        filler = rng.choice(np.arange(100, 300), others, replace=False)
+        rows.append(np.sort(np.array([10 + insult, 20 + group, *filler], dtype=np.int32)))
+        labels.append(int(insult == group))
+    return rows, np.array(labels)
+
+
+def test_pairs_are_learned_that_the_linear_part_misses():
+    (x, y), (unseen, truth) = insult_and_group(0, 1500), insult_and_group(1, 500)
+    right = {}
+    for factors in (0, 8):
+        machine = toxicity.fit(x, y, factors=factors)
+        right[factors] = np.mean([(machine.logit(t) > 0) == label for t, label in zip(unseen, truth)])
+    assert right[8] > 0.95 and right[0] < 0.6
+
+
+def test_logit_is_the_sum_over_pairs():
+    rng = np.random.default_rng(6)
+    m = toxicity.FactorizationMachine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)), 0.2)
+    for n in (0, 1, 2, 9):
+        t = np.sort(rng.choice(50, n, replace=False)).astype(np.int32)
+        want = m.bias + sum(m.w[i] * m.scale for i in t)
+        want += sum(float(m.v[i] @ m.v[j]) * m.scale**2 for k, i in enumerate(t) for j in t[:k])
+        assert m.logit(t) == pytest.approx(want)
+
+
+def test_terms_of_texts():
+    import pyarrow as pa
+
+    one, two, empty, null = toxicity.term_sets(pa.array(["You IDIOT, you!", "idiotic you", " .,", None], pa.string()))
+    assert len(one) == 4 and len(empty) == len(null) == 0  # you, idiot and its stems of four and five
+    assert len(np.intersect1d(one, two)) >= 2
 
 
 def test_topk(spark):
