@@ -92,6 +92,14 @@ def text_of(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores ahead as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def word_count(column: Column | str) -> Column:
     """Number of maximal runs of other than ASCII white space; JVM-side."""
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
@@ -106,11 +114,11 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     Texts move only if ``gone`` has too many rows for a broadcast.
     """
-    names = gone.columns
-    gone = gone.toDF(*(f"_gone_{c}" for c in names))
+    names = {c: free_name(docs, f"gone_{c}") for c in gone.columns}
+    gone = gone.withColumnsRenamed(names)
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    on = [docs[c].eqNullSafe(F.col(f"_gone_{c}")) for c in names]
+    on = [docs[c].eqNullSafe(F.col(other)) for c, other in names.items()]
     return docs.join(gone, on, "left_anti")
 
 

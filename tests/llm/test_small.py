@@ -83,11 +83,50 @@ def test_dedup(docs):
 
 def test_dedup_of_batches(spark):
     index = exact_dedup.DigestIndex(spark, buckets=3)
-    one = spark.createDataFrame([(5, "a"), (6, "b"), (7, "a")], "doc_id long, text string")
-    two = spark.createDataFrame([(1, "a"), (2, "c"), (3, "c")], "doc_id long, text string")
-    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in rows(index.ingest(one))} == {(5, 5, True), (7, 5, False), (6, 6, True)}
-    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in rows(index.ingest(two))} == {(1, 5, False), (2, 2, True), (3, 2, False)}
-    assert spark.table(index.name).count() == 3
+    table = lambda data: spark.createDataFrame(data, "doc_id long, text string")
+    one, two = table([(5, "a"), (6, "b"), (7, "a")]), table([(1, "a"), (2, "c"), (3, "c"), (9, "b")])
+    seen = lambda df: {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["known"]) for r in rows(df)}
+    assert seen(index.ingest(one, "one")) == {(5, 5, 2, True, False), (7, 5, 2, False, False), (6, 6, 1, True, False)}
+    # a later batch lowers keep_id and adds to the sizes
+    want = {(1, 1, 3, True, True), (2, 2, 2, True, False), (3, 2, 2, False, False), (9, 6, 2, False, True)}
+    assert seen(index.ingest(two, "two")) == want
+    assert seen(index.ingest(two, "two")) == want  # a replayed batch counts nothing twice
+    # a session whose catalog lost the table finds the files, with their buckets
+    spark.sql(f"DROP TABLE `{index.name}`")
+    again = exact_dedup.DigestIndex(spark, index.name, index.path)
+    assert seen(again.ingest(two, "two")) == want and again.buckets == 3
+    assert seen(again.ingest(table([(4, "c"), (8, None)]), "three")) == {(4, 2, 3, False, True), (8, 8, 1, True, False)}
+    assert spark.table(index.name).where("fresh").count() == 4
+    assert again.ingest(table([]), "four").count() == 0
+    with pytest.raises(ValueError):
+        again.ingest(one, "../x")
+
+
+def test_batches_meet_the_index_by_a_sort_merge_anti_join(spark, capsys):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    table = spark.createDataFrame([(i, f"text {i % 30}") for i in range(100)], "doc_id long, text string")
+    index.ingest(table, "one")
+    seen = spark.table(index.name).where("fresh").select("digest")
+    fresh = exact_dedup.digests_of(table).repartition(4, "digest").join(seen.hint("merge"), "digest", "left_anti")
+    capsys.readouterr()
+    fresh.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    scan = plan[plan.index("LeftAnti") :].splitlines()
+    below = "\n".join(scan[[i for i, line in enumerate(scan) if "Exchange" in line][-1] + 1 :])
+    assert "FileScan" in below or plan.count("Exchange hashpartitioning(digest") == 1  # the index itself is not shuffled
+    assert fresh.count() == 0
+
+
+def test_kept_columns_may_have_any_name(spark):
+    schema = "doc_id long, text string, digest string, gone_digest string, _key string, _slice int, key string, _mark string, size int, piece int, rank int, _size int, copy int, n int, row int, source string"
+    table = spark.createDataFrame([(i, f"text number {i % 6} of a few", "d", "g", "k", 7, "y", "m", 1, 2, 3, 4, 5, 6, 8, None) for i in range(9)], schema)
+    for f in (exact_dedup.drop_copies, ngram_join.keep_one, mixing.mixed):
+        out = f(table)
+        assert out.columns == table.columns
+        assert {tuple(r)[2:] for r in out.collect()} == {tuple(r)[2:] for r in table.collect()}
+    out = rows(sharding.shard(table))
+    assert len(out) == 9 and {(r["_key"], r["_slice"], r["key"], r["rank"]) for r in out} == {("k", 7, "y", 3)}
 
 
 def test_secrets(docs):
