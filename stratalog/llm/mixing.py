@@ -40,55 +40,62 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return w.withColumn("target", target).select("source", "source_size", "docs", "target")
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 200_000) -> np.ndarray:
-    """How many documents of each length to take so that their lengths sum to ``budget``, or to the nearest sum below.
-
-    First every length gets its even share, then a pass from the longest down takes what still fits; that leaves less
-    than the longest length.  The rest is a bounded knapsack over the documents still free and some of those taken,
-    which are given back: reachable sums, with the last part that reached each.
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 4096) -> np.ndarray:
+    """How many documents of each length to take so that their lengths sum to ``budget``, or to the sum nearest to it.
+
+    First every length gets its even share, then a pass from the longest down takes what still fits.  If words are left
+    over, documents are given back, the shortest first, and a bounded knapsack over all that is free then finds the sum
+    nearest to the budget, above or below: reachable sums, with the last part that reached each.  While that misses the
+    budget, twice as many words are given back, until nothing is left to give: then the result is the best of all
+    subsets.  Lengths are divided by their common divisor.  Of two sums equally near the smaller one is taken.
     """
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return np.zeros(len(lengths), dtype=np.int64)
-    if budget >= total:
-        return counts.copy()
-    order = np.argsort(-lengths, kind="stable")
-    taken = np.array([int(n) * budget // total for n in counts.tolist()], dtype=np.int64)
-    rest = budget - int((lengths * taken).sum())
-    for i in order:
-        if lengths[i] > 0:
-            more = min(int(counts[i] - taken[i]), rest // int(lengths[i]))
-            taken[i] += more
-            rest -= more * int(lengths[i])
-    # give back short documents, so that the knapsack has combinations to choose from
-    for i in order[::-1]:
-        if lengths[i] > 0 and taken[i] and rest:
-            back = min(int(taken[i]), 32, (most - rest) // int(lengths[i]))
-            if back > 0:
-                taken[i] -= back
-                rest += back * int(lengths[i])
-    if not rest or rest > most:
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    use = np.flatnonzero((lengths > 0) & (counts > 0))
+    if budget <= 0 or not len(use):
+        return taken
+    unit = int(np.gcd.reduce(lengths[use]))
+    order = use[np.argsort(-lengths[use], kind="stable")]
+    size, n = (lengths[order] // unit).tolist(), counts[order].tolist()
+    total = sum(a * b for a, b in zip(size, n))
+    goal, over = divmod(budget, unit)  # the goal in units, and words beyond it
+    if goal >= total:
+        taken[order] = n
         return taken
-    reached = np.full(rest + 1, -1, dtype=np.int64)
-    reached[0] = 0
-    parts: list[tuple[int, int]] = [(-1, 0)]
-    for i in order:
-        free, step = int(min(counts[i] - taken[i], rest // max(int(lengths[i]), 1))), 1
-        while lengths[i] > 0 and free > 0 and reached[rest] < 0:
-            n = min(step, free)
-            free, step = free - n, step * 2
-            weight = n * int(lengths[i])
-            if weight <= rest:
-                parts.append((int(i), n))
-                new = (reached[:-weight] >= 0) & (reached[weight:] < 0)
-                reached[weight:][new] = len(parts) - 1
-        if reached[rest] >= 0:
+    base = [c * goal // total for c in n]
+    rest = goal - sum(a * b for a, b in zip(size, base))
+    for i, a in enumerate(size):
+        more = min(n[i] - base[i], rest // a)
+        base[i] += more
+        rest -= more * a
+    nearest = lambda s: (abs(s * unit - over - room * unit), s)
+    while rest or over:
+        low, room = list(base), rest
+        for i in reversed(range(len(size))):
+            back = min(base[i], max(0, -(-(window - room) // size[i])))
+            low[i] -= back
+            room += back * size[i]
+        # sums farther above the goal than the first pass is below it are no better
+        reached = np.full(room + rest + 2, -1, dtype=np.int32)
+        reached[0] = 0
+        parts: list[tuple[int, int]] = [(-1, 0)]
+        for i, a in enumerate(size):
+            free, step = min(n[i] - low[i], (len(reached) - 1) // a), 1
+            while free > 0 and (over or reached[room] < 0):
+                take = min(step, free)
+                free, step = free - take, step * 2
+                parts.append((i, take))
+                new = (reached[: -take * a] >= 0) & (reached[take * a :] < 0)
+                reached[take * a :][new] = len(parts) - 1
+        at = min((int(s) for s in np.flatnonzero(reached >= 0)), key=nearest)
+        if nearest(at)[0] <= unit // 2 or not any(low):
+            base = low
+            while at:
+                i, take = parts[reached[at]]
+                base[i] += take
+                at -= take * size[i]
             break
-    at = int(np.flatnonzero(reached >= 0)[-1])
-    while at:
-        i, n = parts[reached[at]]
-        taken[i] += n
-        at -= n * int(lengths[i])
+        window *= 2
+    taken[order] = base
     return taken
 
 
@@ -98,10 +105,12 @@ def keyed(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).withColumn("rank", rank).withColumn("piece", F.pmod(rank, F.lit(PIECES)))
 
 
-def ranked(docs: DataFrame, seed: int, weights: tuple[int, ...]) -> DataFrame:
-    """One narrow row per row of ``docs``, placed among those of its (key, size, piece), with the plan for these.
+def plan(docs: DataFrame, seed: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(narrow rows of ``docs`` by key; what becomes of each source and size, and the last row taken once more).
 
-    times: copies of each; extra: whether one more is taken.
+    Columns of the second: cut_key, cut_size, source_size, target, times (copies of each), cut (piece, rank, doc_id of
+    the last row of which one more is taken; null: none).  Rows are counted by (key, size, piece); only the piece that
+    a cut falls into is ranked.  Rows that agree in id, source and size are taken alike.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.write(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
@@ -121,46 +130,44 @@ def ranked(docs: DataFrame, seed: int, weights: tuple[int, ...]) -> DataFrame:
         return group[["key", "size", "source_size", "target", "times", "chosen"]]
 
     # one row for each length of a source: as many as its longest document has words at most
-    plan = lengths.join(goals, "key").groupBy("key").applyInPandas(choose, "key string, size long, source_size long, target double, times long, chosen long")
+    chosen = lengths.join(goals, "key").groupBy("key").applyInPandas(choose, "key string, size long, source_size long, target double, times long, chosen long")
+    chosen = scratch.write(chosen, "chosen")
     lower = Window.partitionBy("key", "size").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    plan = pieces.withColumn("lower", F.coalesce(F.sum("n").over(lower), F.lit(0))).join(plan, ["key", "size"])
-    plan = scratch.write(plan.withColumn("left", F.col("chosen") - F.col("lower")).select("key", "size", "piece", "source_size", "target", "times", "left"), "plan")
-    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("key", "size", "piece").orderBy("rank", "doc_id")))
-    return placed.join(plan, ["key", "size", "piece"]).withColumn("extra", F.col("at") <= F.col("left"))
-
-
-def copies(times: Column, extra: Column) -> Column:
-    return F.when(F.col("size") == 0, F.lit(1)).otherwise(times + extra.cast("long")).cast("long")
+    ends = pieces.withColumn("lower", F.coalesce(F.sum("n").over(lower), F.lit(0))).join(chosen.select("key", "size", "chosen"), ["key", "size"])
+    ends = scratch.write(ends.where("lower < chosen and chosen <= lower + n").select("key", "size", "piece", (F.col("chosen") - F.col("lower")).alias("last")), "ends")
+    small = F.broadcast if ends.count() <= MOST_BROADCAST else lambda df: df
+    at = F.row_number().over(Window.partitionBy("key", "size", "piece").orderBy("rank", "doc_id"))
+    cuts = rows.join(small(ends), ["key", "size", "piece"]).withColumn("at", at).where("at = last")
+    cuts = cuts.select("key", "size", F.struct("piece", "rank", "doc_id").alias("cut"))
+    cuts = chosen.join(cuts, ["key", "size"], "left").select(F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), "source_size", "target", "times", "cut")
+    return rows, scratch.write(cuts, "cuts")
+
+
+def taken_of(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (keyed, with size) and copies, source_size, target; rows move only if there are too many cuts for a broadcast."""
+    if cuts.count() <= MOST_BROADCAST:
+        cuts = F.broadcast(cuts)
+    out = rows.join(cuts, (F.col("key") == F.col("cut_key")) & (F.col("size") == F.col("cut_size")))
+    extra = F.coalesce(F.struct("piece", "rank", "doc_id") <= F.col("cut"), F.lit(False))
+    return out.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("times") + extra.cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per row of ``docs``, repeated ones too: doc_id, source, size, source_size, target, taken, copies.
 
     Each source takes all of its documents floor(target / source size) times, and of the rest of its budget as many
-    documents of each length as ``fit`` found, those with the smallest seeded hash of their ids first.  taken is copies
-    times size.  Null texts have size 0; documents of size 0 cost nothing and are taken once.  A null source is a
-    source of its own, the last.  An empty table gives no rows.  Reruns choose the same documents.
+    documents of each length as ``fit`` found, those with the smallest seeded hash of their ids first.  Rows that agree
+    in id, source and size are taken alike, so a source may miss its target by such rows.  taken is copies times size.
+    Null texts have size 0; documents of size 0 cost nothing and are taken once.  A null source is a source of its own,
+    the last.  An empty table gives no rows.  Reruns choose the same documents.
     """
-    out = ranked(docs, seed, weights).withColumn("copies", copies(F.col("times"), F.col("extra")))
+    out = taken_of(*plan(docs, seed, weights))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of the mix with all columns of ``docs``, each as often as it is taken.
-
-    Of the documents of one source and size those up to some (piece, rank, doc_id) are taken once more.  These cuts, one
-    for each source and size, join to the texts, which are moved only if there are too many cuts for a broadcast.  Rows
-    that agree in id, source and size are taken alike: once more if half of them at least are.
-    """
-    rows = ranked(docs, seed, WEIGHTS)
-    alike = rows.groupBy("key", "size", "piece", "rank", "doc_id").agg(F.first("times").alias("times"), F.avg(F.col("extra").cast("int")).alias("extra"))
-    last = F.max(F.when(F.col("extra") >= 0.5, F.struct("piece", "rank", "doc_id")))
-    cuts = alike.groupBy("key", "size").agg(F.first("times").alias("times"), last.alias("cut"))
-    cuts = Scratch(docs.sparkSession, "mixed").write(cuts.withColumnsRenamed({"key": "_key", "size": "_size"}), "cuts")
-    if cuts.count() <= MOST_BROADCAST:
-        cuts = F.broadcast(cuts)
-    texts = docs.select(F.struct(*docs.columns).alias("row"), word_count("text").alias("size"), "doc_id", "source")
-    out = keyed(texts, seed).join(cuts, (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")))
-    extra = F.coalesce(F.struct("piece", "rank", "doc_id") <= F.col("cut"), F.lit(False))
-    out = out.withColumn("n", copies(F.col("times"), extra).cast("int")).where("n > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
+def mixed(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of the mix with all columns of ``docs``, each as often as :func:`mix` takes it."""
+    _, cuts = plan(docs, seed, weights)
+    texts = docs.select(F.struct(*docs.columns).alias("whole_row"), word_count("text").alias("size"), "doc_id", "source")
+    out = taken_of(keyed(texts, seed), cuts).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole_row.*")
