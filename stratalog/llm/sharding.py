@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, free_name, text_of
 
 TOP = 1 << 63  # keys are below
 
@@ -18,9 +18,9 @@ def sort_key(id_col: str, crc: Column) -> Column:
     return F.shiftleft(crc, 31) + F.pmod(F.xxhash64(id_col, crc), F.lit(1 << 31))
 
 
-def histogram(keys: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
-    """Exact (bytes, rows) below each of the sorted probes: every task counts, only sums are exchanged."""
-    bounds = np.array(probes, dtype=np.int64)
+def histogram(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact bytes and rows below each of the sorted probes: every task counts, only sums are exchanged."""
+    bounds = np.asarray(probes, dtype=np.int64)
 
     def task(batches):
         size, rows = np.zeros(len(bounds) + 1, dtype=np.int64), np.zeros(len(bounds) + 1, dtype=np.int64)
@@ -33,91 +33,93 @@ def histogram(keys: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
 
     counted = keys.select("key", "size").mapInArrow(task, "at long, size long, rows long")
     counted = counted.groupBy("at").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"))
-    sums = np.zeros((len(bounds) + 1, 2), dtype=object)
+    sums = np.zeros((len(bounds) + 1, 2), dtype=np.int64)
     for r in counted.collect():  # at most one row for each probe
         sums[r["at"]] = r["size"], r["rows"]
     below = np.cumsum(sums, axis=0)[:-1]
-    return [(int(a), int(b)) for a, b in below]
+    return below[:, 0], below[:, 1]
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int = 128, rounds: int = 16) -> list[int]:
-    """Keys that cut all bytes into ``shards`` parts; each is refined until it is within ``tolerance`` of a part's size.
+def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int = 128) -> list[int]:
+    """Keys that cut all bytes into ``shards`` parts, each within ``tolerance`` of a part's size of its place.
 
-    Between the nearest keys known below and above the goal the next probes are spread evenly, with half of them
-    around where linear interpolation puts the goal.
+    Between the nearest keys known below and above a goal the next probes are spread evenly, with half of them around
+    where linear interpolation puts the goal.  Every round cuts what is open to a third at most, and it goes on until
+    each goal is met or lies between neighbouring keys: then the nearer one is exact, since rows with one key stay together.
     """
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    goals = [total * i // shards for i in range(1, shards)]
-    low, high = [(0, 0)] * len(goals), [(TOP - 1, total)] * len(goals)
-    allowed = tolerance * total / shards
+    total = int(keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    goals = np.array([total * i // shards for i in range(1, shards)], dtype=np.int64)
+    low, at_low = np.zeros(len(goals), np.int64), np.zeros(len(goals), np.int64)
+    high, at_high = np.full(len(goals), TOP - 1), np.full(len(goals), total)
     each = max(4, probes // max(1, len(goals)))
-    for _ in range(rounds):
-        asked: set[int] = set()
-        for g, (a, at_a), (b, at_b) in zip(goals, low, high):
-            if min(g - at_a, at_b - g) <= allowed or b - a <= 1:
-                continue
-            guess = a + (b - a) * (g - at_a) // max(1, at_b - at_a)
-            wide = max(1, (b - a) // (each * 8))
-            asked |= {a + (b - a) * i // (each // 2 + 1) for i in range(1, each // 2 + 1)}
-            asked |= {min(max(guess + wide * (i - each // 4), a + 1), b - 1) for i in range(each // 2)}
-        if not asked:
+    steps = np.arange(1, each // 2 + 1)
+    while True:
+        open_ = (np.minimum(goals - at_low, at_high - goals) > tolerance * total / shards) & (high - low > 1)
+        if not open_.any():
             break
-        tried = sorted(asked)
-        for key, (size, _) in zip(tried, histogram(keys, tried)):
-            for i, g in enumerate(goals):
-                if size <= g and size >= low[i][1] and key > low[i][0]:
-                    low[i] = (key, size)
-                if size >= g and size <= high[i][1] and key < high[i][0]:
-                    high[i] = (key, size)
-    return [a if g - at_a <= at_b - g else b for g, (a, at_a), (b, at_b) in zip(goals, low, high)]
-
-
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, slice_bytes: int = 256 << 20) -> DataFrame:
+        a, gap = low[open_], high[open_] - low[open_]
+        guess = a + (gap * ((goals - at_low)[open_] / np.maximum(1, (at_high - at_low)[open_]))).astype(np.int64)
+        wide = np.maximum(1, gap // (each * 8))
+        even = a[:, None] + gap[:, None] // (len(steps) + 1) * steps + gap[:, None] % (len(steps) + 1) * steps // (len(steps) + 1)
+        near = np.clip(guess[:, None] + wide[:, None] * (steps - 1 - each // 4), a[:, None] + 1, (a + gap - 1)[:, None])
+        tried = np.unique(np.concatenate([even.ravel(), near.ravel()]))
+        size, _ = histogram(keys, tried)
+        # the last probe with at most the goal below it, and the first with at least the goal
+        under, over = np.searchsorted(size, goals, side="right") - 1, np.searchsorted(size, goals, side="left")
+        better = (under >= 0) & (tried[under] > low)
+        low[better], at_low[better] = tried[under][better], size[under][better]
+        better = over < len(tried)
+        better[better] = tried[over[better]] < high[better]
+        high[better], at_high[better] = tried[over[better]], size[over[better]]
+    return np.where(goals - at_low <= at_high - goals, low, high).tolist()
+
+
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, slice_bytes: int = 256 << 20, most_slices: int = 1 << 14) -> DataFrame:
     """All columns of ``docs`` and size, text_crc32, law, shard, slot, grown_shard; columns of these names are replaced.
 
     Law ``bytes``: the shards' bytes (UTF-8 of the text, null as none, plus 1 a row) are near equal.  Rows are ordered
     by ``sort_key``, so equal texts are neighbours and share a shard unless a boundary falls among them.  Only rows that
     agree in both id and text have the same key and stay together.  slot is the row's place in its shard, from 0.  Within
-    a shard the same search cuts slices of about ``slice_bytes``, so that no task sorts a whole shard.  Narrow
-    (key, size) rows are probed; the rows themselves are exchanged once, by slice.  An empty table gives no rows.
+    a shard the same search cuts slices of about ``slice_bytes``, so that no task sorts a whole shard; beyond
+    ``most_slices`` slices they grow with the input, which bounds the driver's lists.  Narrow (key, size) rows are
+    probed; the rows themselves are exchanged once, by slice.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     text = text_of("text").cast("binary")
     own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c.lower() not in own]
+    key, place, row = (free_name(docs, c) for c in ("shard_key", "shard_slice", "shard_row"))
     # one pass over the texts for the narrow rows; only these are probed
     crc = F.crc32(text)
     size = (F.octet_length(text) + 1).cast("long")
-    rows = docs.select(*kept, size.alias("size"), crc.alias("text_crc32"), sort_key("doc_id", crc).alias("_key"))
-    keys = scratch.write(rows.select(F.col("_key").alias("key"), "size"), "keys")
+    rows = docs.select(*kept, size.alias("size"), crc.alias("text_crc32"), sort_key("doc_id", crc).alias(key))
+    keys = scratch.write(rows.select(F.col(key).alias("key"), "size"), "keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    slices = max(1, -(-total // (shards * slice_bytes)))
+    slices = max(1, min(-(-total // (shards * slice_bytes)), most_slices // shards))
     coarse = splitters(keys, shards, tolerance)
-    bounds = sorted(set(coarse) | (set(splitters(keys, shards * slices, 0.2, probes=16 * shards * slices)) if slices > 1 else set()))
-    counted = histogram(keys, bounds) if bounds else []
-    below = [0, *(n for _, n in counted)]
-    shard_of = [sum(c <= b for c in coarse) for b in [0, *bounds]]
-    first = {}
+    bounds = np.unique(np.array(coarse + (splitters(keys, shards * slices, 0.2, probes=16 * shards * slices) if slices > 1 else []), dtype=np.int64))
+    below = np.concatenate([[0], histogram(keys, bounds)[1]]).tolist() if len(bounds) else [0]
+    shard_of = np.searchsorted(np.sort(coarse), np.concatenate([[0], bounds]), side="right").tolist()
+    first: dict[int, int] = {}
     for s, n in zip(shard_of, below):
         first.setdefault(s, n)
     if len(bounds) <= 64:
-        at = sum(((F.col("_key") >= b).cast("int") for b in bounds), F.lit(0))
+        at = sum(((F.col(key) >= b).cast("int") for b in bounds.tolist()), F.lit(0))
     else:
-        edges = np.array(bounds, dtype=np.int64)
-        at = F.pandas_udf(lambda key: pd.Series(np.searchsorted(edges, key, side="right"), dtype="int32"), "int")("_key")
+        at = F.pandas_udf(lambda key: pd.Series(np.searchsorted(bounds, key, side="right"), dtype="int32"), "int")(key)
     # one row for each slice
-    meta = docs.sparkSession.createDataFrame(
-        [(i, s, n - first[s]) for i, (s, n) in enumerate(zip(shard_of, below))], "_slice int, _shard int, _offset long"
-    )
-    window = Window.partitionBy("_slice").orderBy("_key", "doc_id")
-    out = rows.withColumn("_slice", at).withColumn("_at", F.row_number().over(window) - 1)
-    out = out.join(F.broadcast(meta), "_slice")
+    names = [free_name(docs, c) for c in ("slice_number", "slice_shard", "slice_offset")]
+    meta = [(i, s, n - first[s]) for i, (s, n) in enumerate(zip(shard_of, below))]
+    meta = docs.sparkSession.createDataFrame(meta, f"{names[0]} int, {names[1]} int, {names[2]} long")
+    window = Window.partitionBy(place).orderBy(key, "doc_id")
+    out = rows.withColumn(place, at).withColumn(row, F.row_number().over(window) - 1)
+    out = out.join(F.broadcast(meta), F.col(place) == F.col(names[0]))
     return out.select(
         *kept,
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        F.col("_shard").alias("shard"),
-        (F.col("_at") + F.col("_offset")).cast("long").alias("slot"),
+        F.col(names[1]).alias("shard"),
+        (F.col(row) + F.col(names[2])).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
