@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, Scratch, trimmed, without
+from .common import MOST_BROADCAST, Scratch, free_name, trimmed, without
 from .components import components
-from .shingles import digest, packed, sets_of, sketch, unlike, unpacked
+from .shingles import digest, mixed, packed, sets_of, sketch, unlike, unpacked
 
 NEED, OF = 75, 100  # sets link when OF * shared >= NEED * union
 SMALL_LIST = 24  # sets up to which a list's open pairs are joined; longer lists are compared in blocks
 BLOCK = 1024
 HINTS = 16
-FREQUENT = 1 << 17  # rows of the table of frequent shingles
+CELLS = 1 << 21  # of each of the two rows of the sketch of shingle counts; its levels take a byte a cell
+UNIT = 16  # counts of a task below it are sent as so many, with a chance in proportion
 LEADERS = 4  # of each list and round; the first round takes one
 
 
@@ -26,71 +27,90 @@ def prefix_length(n: int) -> int:
     return n - -(-NEED * n // OF) + 1
 
 
-def may_link(a: Column, b: Column) -> Column:
-    return OF * F.least(a, b) >= NEED * F.greatest(a, b)
+def may_link(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
+    """Whether sets of these sizes whose first common shingle has these places can link: what comes behind is all they can share."""
+    return (OF + NEED) * F.least(n - at, other_n - other_at) >= NEED * (n + other_n)
+
+
+def cells_of(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of shingles in the two rows of the count sketch, numbered through."""
+    x = shingles.astype(np.uint64)
+    return (x % np.uint64(CELLS)).astype(np.int64), CELLS + (x // np.uint64(CELLS) % np.uint64(CELLS)).astype(np.int64)
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """One pass over the texts.  Rows with a null token: doc_id, gid (identity of its shingle set), n (its size), sketch,
+    """One pass over the texts.  Rows with a null cell: doc_id, gid (identity of its shingle set), n (its size), sketch,
     and the row's third column as mark.
 
-    Rows with a token: a shingle that many texts of one batch hold, and how many (n).
+    Rows with a cell: how many (n) of the task's shingles fall into it.  All shingles count; to keep the rows few, counts
+    below UNIT are rounded to 0 or UNIT, by a hash and without bias.
     """
 
     def task(batches):
-        for batch in batches:
-            gids, sizes, sketches, pool, held = [], [], [], [], 0
-            tokens, counts = [], []
+        from pyspark import TaskContext
 
-            def spill():
-                values, n = np.unique(np.concatenate(pool), return_counts=True)
-                many = n >= 3
-                tokens.append(values[many].astype(np.int64))
-                counts.append(n[many])
+        counts, pool, held = np.zeros(2 * CELLS, dtype=np.uint32), [], 0
 
+        def pour():
+            for cells in cells_of(np.concatenate(pool)):
+                np.add(counts, np.bincount(cells, minlength=len(counts)), out=counts, casting="unsafe")
+
+        for batch in batches:
+            gids, sizes, sketches = [], [], []
             for s in sets_of(batch.column(1)):
                 gids.append(digest(s) if len(s) else None)
                 sizes.append(len(s))
                 sketches.append(sketch(s) if len(s) else None)
                 pool.append(s)
                 held += len(s)
-                if held > 1_000_000:
-                    spill()
+                if held > 1 << 21:
+                    pour()
                     pool, held = [], 0
-            if held:
-                spill()
-            rows = len(gids)
-            token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            ids = pa.concat_arrays([batch.column(0), pa.nulls(len(token), pa.int64())])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": ids,
-                    "gid": pa.concat_arrays([pa.array(gids, pa.int64()), pa.nulls(len(token), pa.int64())]),
-                    "n": pa.array(np.concatenate([np.array(sizes, np.int64), count]).astype(np.int32)),
-                    "sketch": pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(len(token), pa.binary())]),
-                    "token": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(token, pa.int64())]),
-                    "mark": pa.concat_arrays([batch.column(2), pa.nulls(len(token), pa.binary())]),
-                }
-            )
-
-    return docs.mapInArrow(trimmed(task), "doc_id long, gid long, n int, sketch binary, token long, mark binary")
-
-
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, owner): the prefix of each group of texts, and each group's members.
-
-    Shingles are ordered by their place in ``frequent`` (rarest first, unlisted ones before all), then by hash; any
-    fixed order is right, this one keeps common shingles out of the prefixes.  A group holds all sets with one prefix
-    and one size; its owner is a digest of them.  A member row has token -(gid + 1).
+            columns = [batch.column(0), pa.array(gids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.nulls(len(gids), pa.int32()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "gid", "n", "sketch", "cell", "mark"])
+        if held:
+            pour()
+        full = np.flatnonzero(counts)
+        draw = mixed(full.astype(np.uint64) + np.uint64(TaskContext.get().partitionId() << 32)) % np.uint64(UNIT)
+        full = full[counts[full] > draw]
+        for at in range(0, len(full), 100_000):
+            cell = full[at : at + 100_000]
+            none = [pa.nulls(len(cell), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            columns = [none[0], none[1], pa.array(np.maximum(counts[cell], UNIT).astype(np.int32)), none[2], pa.array(cell.astype(np.int32)), none[3]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "gid", "n", "sketch", "cell", "mark"])
+
+    return docs.mapInArrow(trimmed(task), "doc_id long, gid long, n int, sketch binary, cell int, mark binary")
+
+
+def count_levels(counted: DataFrame) -> np.ndarray:
+    """One byte for each cell of the sketch, of fixed size: four times the binary logarithm of its count."""
+
+    def task(batches):
+        for batch in batches:
+            n = batch.column(1).to_numpy().astype(np.float64)
+            level = np.minimum(255, 4 * np.log2(n)).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"cells": [batch.column(0).to_numpy().astype("<i4").tobytes()], "levels": [level.tobytes()]})
+
+    out = np.zeros(2 * CELLS, dtype=np.uint8)
+    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).mapInArrow(task, "cells binary, levels binary").toLocalIterator():
+        out[np.frombuffer(r["cells"], "<i4")] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(token, fit, owner): the prefix of each group of texts, and each group's members.
+
+    Shingles are ordered by their level in the count sketch, the rarest first, then by hash; any fixed order is right,
+    this one keeps common shingles out of the prefixes.  A group holds all sets with one prefix and one size; its owner
+    is a digest of them.  fit is the size and, below it, the shingle's place in the prefix.  A member row has token
+    -(gid + 1).
     """
-    by_token = np.argsort(frequent)
-    listed = frequent[by_token]
 
     def task(batches):
         recent = OrderedDict()
+        names = ["token", "fit", "owner"]
         for batch in batches:
-            tokens, owners = [], []
+            tokens, fits, owners, held = [], [], [], 0
             for s in sets_of(batch.column(0)):
                 if not len(s):
                     continue
@@ -100,32 +120,36 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 recent[gid] = None
                 if len(recent) > 20_000:
                     recent.popitem(last=False)
-                s = s.astype(np.int64)
-                place = np.zeros(len(s), dtype=np.int64)
-                if len(listed):
-                    at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
-                    place = np.where(listed[at] == s, by_token[at] + 1, 0)
-                if place.any():
-                    s = s[np.argsort(place, kind="stable")]
-                head = s[: prefix_length(len(s))]
+                one, two = cells_of(s)
+                head = s[np.argsort(np.minimum(levels[one], levels[two]), kind="stable")[: prefix_length(len(s))]].astype(np.int64)
                 owner = digest(np.append(np.sort(head), len(s)))
                 tokens += [head, [-(gid + 1)]]
-                owners += [np.full(len(head) + 1, owner, dtype=np.int64)]
-                if len(tokens) > 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "owner"])
-                    tokens, owners = [], []
+                fits.append((len(s) << 32) + np.append(np.arange(len(head)), 0))
+                owners.append(np.full(len(head) + 1, owner, dtype=np.int64))
+                held += len(head)
+                if held > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, fits, owners)], names=names)
+                    tokens, fits, owners, held = [], [], [], 0
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, fits, owners)], names=names)
 
-    return docs.select("text").mapInArrow(trimmed(task), "token long, owner long")
+    return docs.select("text").mapInArrow(trimmed(task), "token long, fit long, owner long")
 
 
-def shared_only(entries: DataFrame) -> DataFrame:
-    """Of sorted (token, owner) rows those whose token has several owners, each once, and all member rows, each once."""
+def filtered_groups(entries: DataFrame) -> DataFrame:
+    """Of rows sorted by (token, fit, owner) those whose group can pair by size with another group of the token, and all
+    member rows, each once.
+
+    Sizes rise within a token, so a group that fits neither its neighbour before nor the one behind fits none.
+    """
 
     def task(batches):
-        held = np.zeros((2, 0), dtype=np.int64)  # the last row, whose successor is not known yet
-        before = None  # token of the row ahead of it
+        held, before = np.zeros((3, 0), dtype=np.int64), None  # the last row, whose successor is not known yet; whether it fits the one ahead
+
+        def pairs(rows):
+            size = rows[1] >> 32
+            return (rows[0, 1:] == rows[0, :-1]) & (OF * size[:-1] >= NEED * size[1:])
+
         for batch in batches:
             rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
             if not rows.shape[1]:
@@ -133,21 +157,20 @@ def shared_only(entries: DataFrame) -> DataFrame:
             new = np.ones(rows.shape[1], dtype=bool)
             new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
             rows = rows[:, new]
-            token = rows[0]
-            like = token[1:] == token[:-1]
-            keep = token < 0
+            like = pairs(rows)
+            keep = rows[0] < 0
             keep[1:] |= like
             keep[:-1] |= like
-            keep[0] |= before is not None and before == token[0]
+            keep[0] |= bool(before)
             out = rows[:, :-1][:, keep[:-1]]
             if rows.shape[1] > 1:
-                before = token[-2]
+                before = like[-1]
             held = rows[:, -1:]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["token", "owner"])
-        if held.shape[1] and (held[0, 0] < 0 or (before is not None and before == held[0, 0])):
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["token", "owner"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "fit", "owner"])
+        if held.shape[1] and (held[0, 0] < 0 or before):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["token", "fit", "owner"])
 
-    return entries.mapInArrow(trimmed(task), "token long, owner long")
+    return entries.mapInArrow(trimmed(task), "token long, fit long, owner long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, many: bool) -> DataFrame:
@@ -314,10 +337,11 @@ def link(docs: DataFrame, rounds: int = 3) -> DataFrame:
     texts without words have no shingle and link with nothing, not even with each other: their own doc_id is their
     component.  A null doc_id links like any other but is not the smallest unless no other is there.
 
-    The join is exact.  Equal sets collapse first; sets with equal prefix and size collapse into groups; groups that share
-    a prefix shingle are candidates, by size.  Lists of candidates are expanded to their sets and verified against a few
-    leaders for each list, in ``rounds`` rounds, of which only the first takes in lists up to SMALL_LIST.  After that all
-    pairs of different components are verified: in short lists by a join, in long ones in blocks.
+    The join is exact.  Equal sets collapse first; sets with equal prefix and size collapse into groups.  Groups that share
+    a prefix shingle are paired if their sizes, and the shingle's places in their prefixes, allow a link; only then are
+    they expanded to their sets, and these verified.  The first round pairs each group with one leader for each of its
+    shingles.  Lists whose sets are not in one component after that go on: the long ones in further rounds of leaders, up to
+    ``rounds`` in all, then all pairs of different components are verified, in short lists by a join, in long ones in blocks.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     return assigned(*labelled(docs, F.lit(None), scratch, rounds), scratch)
@@ -329,54 +353,61 @@ def labelled(docs: DataFrame, mark: Column, scratch: Scratch, rounds: int = 3) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.cast("binary").alias("mark"))
     seen = scratch.write(survey(docs), "survey")
     docs = docs.drop("mark")
-    ids = seen.where("token is null").select("doc_id", "gid", "n", "mark")
-    # a table of fixed size at most: its use as an order needs no exact counts
-    common = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    frequent = np.array([r[0] for r in common.select("token", "n").orderBy("n", "token").select("token").collect()], dtype=np.int64)
-    entries = prefixes(docs, frequent)
+    ids = seen.where("cell is null").select("doc_id", "gid", "n", "mark")
+    entries = prefixes(docs, count_levels(seen.where("cell is not null").select("cell", "n")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = entries.repartition(parts, "token").sortWithinPartitions("token", "owner")
-    entries = scratch.write(shared_only(entries), "shared")
+    entries = entries.repartition(parts, "token").sortWithinPartitions("token", "fit", "owner")
+    entries = scratch.write(filtered_groups(entries), "groups")
     scratch.release()
     firsts = seen.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     firsts = scratch.write(firsts, "firsts")
     texts = firsts.count()
     rows = entries.count()
-    members = entries.where("token < 0").select((-F.col("token") - 1).alias("gid"), "owner").distinct()
-    groups = members.groupBy("owner").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    keys = entries.where("token >= 0").select(F.col("token").alias("key"), "owner")
-    keys = keys.unionByName(groups.select(F.col("owner").alias("key"), "owner"))
-    lists = keys.join(members, "owner").join(firsts.select("gid", "n"), "gid").select("key", "gid", "n")
+    # every group and set is there once: rows of one token are in one partition
+    members = entries.where("token < 0").select((-F.col("token") - 1).alias("gid"), "owner", F.shiftright("fit", 32).alias("n"))
+    several = members.groupBy("owner", "n").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    keys = entries.where("token >= 0").select(F.col("token").alias("key"), "owner", F.shiftright("fit", 32).alias("n"), F.col("fit").bitwiseAND((1 << 32) - 1).alias("at"))
+    keys = keys.unionByName(several.select(F.col("owner").alias("key"), "owner", "n", F.lit(0).cast("long").alias("at")))
+    # the first round, group by group: those that pass the filter meet one set of their list's leader
+    first = F.min(F.struct(F.xxhash64("owner").alias("h"), F.col("owner").alias("leader"), F.col("n").alias("l_n"), F.col("at").alias("l_at"))).alias("l")
+    leaders = scratch.write(keys.groupBy("key").agg(first).select("key", "l.leader", "l.l_n", "l.l_at"), "leaders-0", rows)
+    pairs = keys.join(leaders, "key").where(((F.col("owner") != F.col("leader")) | (F.col("owner") == F.col("key"))) & may_link(F.col("n"), F.col("at"), F.col("l_n"), F.col("l_at")))
+    pairs = scratch.write(pairs.select("owner", "leader").distinct(), "group-pairs", rows)
+    chosen = members.groupBy("owner").agg(F.min(F.struct(F.xxhash64("gid").alias("h"), "gid")).alias("s"))
+    pairs = pairs.join(members.select("owner", F.col("gid").alias("u")), "owner").join(chosen.select(F.col("owner").alias("leader"), F.col("s.gid").alias("v")), "leader")
+    edges = verified(pairs.where("u <> v").select("u", "v").distinct(), docs, firsts, scratch, "round-0", rows)
+    labels = components(edges, scratch, "round-0", edges.count())
+    # lists whose sets are not all in one component yet, expanded to these
+    marked = scratch.write(labelled_sets(members, labels), "labelled-sets", texts)
+    spread = marked.groupBy("owner").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    open_keys = keys.join(spread, "owner").groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("key")
+    open_keys = scratch.write(open_keys, "open-keys", rows)
+    lists = keys.join(open_keys, "key").select("key", "owner", "at").join(members, "owner").select("key", "gid", "n", "at")
     lists = scratch.write(lists, "lists", rows)
     rows = lists.count()
-    scratch.drop("shared")
-    edges, labels = None, None
-    for at in range(rounds + 1):
-        if labels is None:
-            open_, many = lists.withColumn("label", F.col("gid")), 1
-        else:
-            now = lists.join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left").withColumn("label", F.coalesce("label", "gid"))
-            now = scratch.write(now, f"labelled-{at}", rows)
-            sizes = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("key", "m")
-            sizes = scratch.write(sizes, f"keys-{at}", rows)
-            long_ = sizes.where(F.col("m") > SMALL_LIST).count()
-            if at == rounds or not long_:
-                break
-            open_, many = now.join(sizes.where(F.col("m") > SMALL_LIST).select("key"), "key"), LEADERS
-        best = lambda i: F.min(F.struct(F.xxhash64("gid", F.lit(LEADERS * at + i)).alias("h"), F.col("gid").alias("gid"), F.col("label").alias("label"), F.col("n").alias("n")))
-        leaders = open_.groupBy("key").agg(*(best(i).alias(f"l{i}") for i in range(many)))
-        leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(many))).cast("array<struct<h:bigint,gid:bigint,label:bigint,n:int>>"))).alias("l"))
-        leaders = leaders.select("key", F.col("l.gid").alias("v"), F.col("l.label").alias("v_label"), F.col("l.n").alias("v_n")).distinct()
-        leaders = scratch.write(leaders, f"leaders-{at}", many * rows)
-        pairs = open_.join(leaders, "key").where((F.col("label") != F.col("v_label")) & may_link(F.col("n"), F.col("v_n")))
-        pairs = pairs.select(F.col("gid").alias("u"), "v").distinct()
-        new = verified(pairs, docs, firsts, scratch, f"round-{at}", many * rows)
-        edges = new if edges is None else edges.unionByName(new)
+    scratch.drop("groups", "group-pairs")
+    for at in range(1, rounds + 1):
+        now = scratch.write(labelled_sets(lists, labels), f"labelled-{at}", rows)
+        sizes = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("key", "m")
+        sizes = scratch.write(sizes, f"keys-{at}", rows)
+        long_ = sizes.where(F.col("m") > SMALL_LIST).count()
+        if at == rounds or not long_:
+            break
+        open_ = now.join(sizes.where(F.col("m") > SMALL_LIST).select("key"), "key")
+        fields = F.col("gid").alias("gid"), F.col("label").alias("label"), F.col("n").alias("n"), F.col("at").alias("at")
+        best = lambda i: F.min(F.struct(F.xxhash64("gid", F.lit(LEADERS * at + i)).alias("h"), *fields))  # noqa: B023, E731
+        leaders = open_.groupBy("key").agg(*(best(i).alias(f"l{i}") for i in range(LEADERS)))
+        leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"l{i}.{c}") for c in ("gid", "label", "n", "at"))) for i in range(LEADERS))))).alias("l"))
+        leaders = leaders.select("key", F.col("l.gid").alias("v"), F.col("l.label").alias("v_label"), F.col("l.n").alias("v_n"), F.col("l.at").alias("v_at"))
+        leaders = scratch.write(leaders, f"leaders-{at}", LEADERS * rows)
+        pairs = open_.join(leaders, "key").where((F.col("label") != F.col("v_label")) & may_link(F.col("n"), F.col("at"), F.col("v_n"), F.col("v_at")))
+        new = verified(pairs.select(F.col("gid").alias("u"), "v").distinct(), docs, firsts, scratch, f"round-{at}", LEADERS * rows)
+        edges = edges.unionByName(new)
         labels = components(edges, scratch, f"round-{at}", edges.count())
-    if labels is not None and not sizes.isEmpty():
+    if not sizes.isEmpty():
         short = now.join(sizes.where(F.col("m") <= SMALL_LIST).select("key"), "key")
         a, b = (short.toDF(*(f"{side}_{c}" for c in short.columns)) for side in "ab")
-        pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_label") < F.col("b_label")) & may_link(F.col("a_n"), F.col("b_n")))
+        pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_label") < F.col("b_label")) & may_link(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at")))
         pairs = pairs.select(F.greatest("a_gid", "b_gid").alias("u"), F.least("a_gid", "b_gid").alias("v"))
         if long_:
             pairs = pairs.unionByName(long_lists(now, sizes, firsts))
@@ -385,6 +416,11 @@ def labelled(docs: DataFrame, mark: Column, scratch: Scratch, rounds: int = 3) -
     return ids, firsts, labels, texts
 
 
+def labelled_sets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (with gid) and the label of each set, its own gid if it has none."""
+    return rows.join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left").withColumn("label", F.coalesce("label", "gid"))
+
+
 def assigned(ids: DataFrame, firsts: DataFrame, labels: DataFrame, texts: int, scratch: Scratch) -> DataFrame:
     known = firsts.join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left")
     known = scratch.write(known.select("gid", F.coalesce("label", "gid").alias("label"), "first_id"), "known", texts)
@@ -414,12 +450,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
     # repeated rows leave with the others, and one of each comes back
     found = rows.join(best, "label").withColumn("kept", kept).where("not kept or copies > 1")
-    found = scratch.write(found.select("doc_id", F.col("mark").alias("_mark"), "kept"), "gone")
-    marked = docs.withColumn("_mark", digest_)
-    out = without(marked, found.select("doc_id", "_mark"))
-    again = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_again"))
+    mark, other_id, other = free_name(docs, "text_mark"), free_name(docs, "again_id"), free_name(docs, "again_mark")
+    found = scratch.write(found.select("doc_id", F.col("mark").alias(mark), "kept"), "gone")
+    marked = docs.withColumn(mark, digest_)
+    out = without(marked, found.select("doc_id", mark))
+    again = found.where("kept").select(F.col("doc_id").alias(other_id), F.col(mark).alias(other))
     if not again.isEmpty():
         small = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
-        on = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_mark"] == F.col("_again"))
-        out = out.unionByName(marked.join(small, on, "left_semi").dropDuplicates(["doc_id", "_mark"]))
+        on = marked["doc_id"].eqNullSafe(F.col(other_id)) & (marked[mark] == F.col(other))
+        out = out.unionByName(marked.join(small, on, "left_semi").dropDuplicates(["doc_id", mark]))
     return out.select(*docs.columns)

@@ -269,8 +269,7 @@ def test_mixing(docs):
     want, have = defaultdict(list), Counter(r["doc_id"] for r in rows(mixed))
     for r in got:
         want[r["doc_id"]].append(r["copies"])
-    for i, n in want.items():  # repeated rows are taken alike
-        assert have[i] == sum(n) if len(n) == 1 else have[i] % len(n) == 0 and abs(have[i] - sum(n)) <= len(n) / 2
+    assert have == Counter({i: sum(n) for i, n in want.items() if sum(n)})
 
 
 def test_subset_sums():
@@ -286,7 +285,21 @@ def test_subset_sums():
         taken = mixing.fit(lengths, counts, budget)
         assert (taken >= 0).all() and (taken <= counts).all()
         reached = int((taken * lengths).sum())
-        assert reached <= budget and budget - reached <= max(3, budget - max(s for s in sums if s <= budget))
+        assert abs(reached - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_subset_sums_of_very_long_texts():
+    lengths, counts = np.array([300_000, 400_000, 500_000]), np.array([2, 2, 1])
+    for budget in (600_000, 700_000, 1_000_000, 1_899_999, 1_900_000, 1_200_001):
+        assert abs(int((mixing.fit(lengths, counts, budget) * lengths).sum()) - budget) <= 1
+    lengths = np.array([300_001, 400_000, 650_003])
+    assert mixing.fit(lengths, np.ones(3, dtype=int), 700_000).tolist() == [1, 1, 0]
+    assert mixing.fit(np.array([20_000]), np.array([1]), 18_000).tolist() == [1]  # the nearest sum is above
+    assert mixing.fit(np.array([20_000]), np.array([1]), 9_000).tolist() == [0]
+    rng = np.random.default_rng(9)
+    lengths = np.unique(rng.integers(100_000, 500_000, 400))
+    for budget in (1_234_567, 30_000_001, 70_000_000):
+        assert int((mixing.fit(lengths, np.ones(len(lengths), dtype=int), budget) * lengths).sum()) == budget
 
 
 def test_warc(spark, tmp_path):
@@ -356,6 +369,27 @@ def test_sharding(docs):
     assert set(by) <= set(range(8)) and all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_shards_are_of_equal_bytes(spark):
+    rng = np.random.default_rng(8)
+    made = [(i, "w" * int(rng.integers(0, 400)) if i % 3 else "the same text in a third of all rows") for i in range(6000)]
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    total = sum(len(t) + 1 for _, t in made)
+    for slice_bytes in (256 << 20, 20_000):
+        by, of_text = Counter(), defaultdict(set)
+        got = rows(sharding.shard(table, slice_bytes=slice_bytes))
+        for r in got:
+            by[r["shard"]] += r["size"]
+            of_text[r["text"]].add(r["shard"])
+        assert len(by) == 8 and all(abs(n - total / 8) <= 0.001 * total / 8 * 2 + 800 for n in by.values())
+        assert {(r["doc_id"], r["text"]) for r in got} == set(made)
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        # equal texts share a shard but where a boundary falls among them
+        assert sum(len(s) - 1 for s in of_text.values()) <= 7
+
+
 def test_license_scan(spark):
     filler = " ".join(WORDS)
     made = [(i, f"{filler} {text} {filler}") for i, (_, text) in enumerate(license_scan.TEMPLATES)]
@@ -489,3 +523,42 @@ def test_random_strings_of_all_kinds_are_found():
     assert secrets.scan(f"{key}/{base}") == [(0, 3, 25), (25, 2, 65)]
     for clean in ("get_id_of_my_api_to_be_in_db", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "two-thousand-and-twenty-four", "-" * 40):
         assert not secrets.scan(clean)
+
+
+def test_components_of_a_rising_chain(spark):
+    from stratalog.llm.common import Scratch
+    from stratalog.llm.components import components
+
+    class Counted(Scratch):
+        def write(self, df, name, rows=None):
+            written.append(name)
+            return super().write(df, name, rows)
+
+    written = []
+    edges = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    edges = edges.unionByName(spark.range(5000, 5040).select(F.lit(5000).cast("long").alias("u"), F.col("id").alias("v")))
+    found = rows(components(edges, Counted(spark, "test-components"), "chain", 3040))
+    parts = defaultdict(set)
+    for r in found:
+        parts[r["label"]].add(r["node"])
+    assert sorted(map(sorted, parts.values())) == [list(range(3001)), list(range(5000, 5040))]
+    assert sum("-edges-" in name for name in written) <= 15
+
+
+def test_join_with_long_lists_and_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL_LIST", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    made = []
+    for k in range(12):
+        base = rng.choice(vocabulary, 40).tolist()
+        for j in range(12):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                w[int(rng.integers(0, len(w)))] = str(rng.choice(vocabulary))
+            w += rng.choice(vocabulary, int(rng.integers(0, 8))).tolist()
+            made.append((len(made), " ".join(w)))
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(ngram_join.link(table))), key=repr)
+    assert got == jaccard_components(made)
