@@ -11,37 +11,30 @@ from .common import Scratch
 def components(edges: DataFrame, scratch: Scratch, tag: str, rows: int) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v: long; at most ``rows`` of them): nodes share a label exactly if edges connect them.
 
-    Each round maps every node to that of itself and its neighbours which comes first in the round's own hashed order,
-    follows these images to their ends by pointer jumping, and keeps the edges between the ends.  Every tree of images
-    has two nodes at least, so a round at least halves the nodes that still have edges, whatever their numbers; trees are
-    a few steps deep, since the order is random.  Every table is written before it is read again, and the joins read
-    files on both sides, so AQE can split hubs.
+    Each round maps every node to that of itself and its neighbours which comes first in a hashed order, follows these
+    images four steps, and keeps the edges between where they lead.  The order is random whatever the nodes' numbers, so
+    hardly a way is longer than that, and few nodes but the first of their neighbourhood keep edges; a star's leaves meet
+    in two rounds.  Every table is written before it is read again, and the joins read files on both sides, so AQE can
+    split hubs.
     """
-    labels = None
-    at = 0
+    steps: list[DataFrame] = []
     edges = scratch.write(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{tag}-edges-0", rows)
-    while not edges.isEmpty():
+    while rows := edges.count():
+        at = len(steps)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        placed = lambda c: F.struct(F.xxhash64(c, F.lit(at)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        placed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
         step = both.groupBy("u").agg(F.min(placed("v")).alias("m")).select(F.col("u").alias("node"), F.least(placed("u"), "m")["node"].alias("image"))
-        step, jump = scratch.write(step, f"{tag}-step-{at}-0", 2 * rows), 0
-        while True:
-            further = step.select(F.col("node").alias("image"), F.col("image").alias("end"))
-            jump += 1
-            moved = scratch.write(step.join(further, "image").select("node", F.col("end").alias("image"), (F.col("end") != F.col("image")).alias("moved")), f"{tag}-step-{at}-{jump}", 2 * rows)
-            step = moved.select("node", "image")
-            if moved.where("moved").isEmpty():
-                break
+        step = scratch.write(step, f"{tag}-near-{at}", 2 * rows)
+        for _ in range(2):
+            step = step.join(step.toDF("image", "further"), "image").select("node", F.col("further").alias("image"))
+        step = scratch.write(step, f"{tag}-step-{at}", 2 * rows)
         one, two = step.toDF("u", "a"), step.toDF("v", "b")
         met = edges.join(one, "u").join(two, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         edges = scratch.write(met.distinct(), f"{tag}-edges-{at + 1}", rows)
-        if labels is None:
-            labels = step.toDF("node", "label")
-        else:
-            follow = step.toDF("label", "image")
-            labels = labels.join(follow, "label", "left").select("node", F.coalesce("image", "label").alias("label"))
-        labels = scratch.write(labels, f"{tag}-labels-{at}", 2 * rows)
-        at += 1
-    if labels is None:
+        steps.append(step)
+    if not steps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels
+    labels = steps[0].toDF("node", "label")
+    for step in steps[1:]:
+        labels = labels.join(step.toDF("label", "image"), "label", "left").select("node", F.coalesce("image", "label").alias("label"))
+    return scratch.write(labels, f"{tag}-labels")

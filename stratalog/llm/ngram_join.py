@@ -92,7 +92,7 @@ def count_levels(counted: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"cells": [batch.column(0).to_numpy().astype("<i4").tobytes()], "levels": [level.tobytes()]})
 
     out = np.zeros(2 * CELLS, dtype=np.uint8)
-    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).mapInArrow(task, "cells binary, levels binary").toLocalIterator():
+    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).mapInArrow(task, "cells binary, levels binary").collect():
         out[np.frombuffer(r["cells"], "<i4")] = np.frombuffer(r["levels"], np.uint8)
     return out
 
@@ -188,12 +188,12 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, many: bool) -> DataFrame:
     return texts.mapInArrow(trimmed(task), "gid long, n int, hashes binary")
 
 
-def with_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """(u, v, u_x, v_x): both sides' values of ``column`` (gid, x) for each of the distinct, written ``pairs``.
+def with_sides(pairs: DataFrame, rows: int, table: DataFrame, column: str) -> DataFrame:
+    """(u, v, u_x, v_x): both sides' values of ``column`` (gid, x) for each of the ``rows`` distinct, written ``pairs``.
 
     v is the leader, of which there are few: the other side's value travels with the pair.
     """
-    small = F.broadcast if pairs.count() <= MOST_BROADCAST else lambda df: df
+    small = F.broadcast if rows <= MOST_BROADCAST else lambda df: df
     one = table.select(F.col("gid").alias("u"), F.col(column).alias("u_x"))
     two = table.select(F.col("gid").alias("v"), F.col(column).alias("v_x")).join(small(pairs.select("v").distinct()), "v", "left_semi")
     return one.join(small(pairs), "u").hint("merge").join(two.hint("merge"), "v").select("u", "v", "u_x", "v_x")
@@ -313,17 +313,17 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, scratch: Scra
     """
     pairs = scratch.write(pairs, f"{tag}-pairs", rows)
     rows = pairs.count()
-    sided = with_sides(pairs, firsts.withColumn("x", F.struct("n", "sketch")), "x")
+    sided = with_sides(pairs, rows, firsts.withColumn("x", F.struct("n", "sketch")), "x")
     sided = sided.select("u", "v", F.col("u_x.sketch").alias("u_x"), F.col("v_x.sketch").alias("v_x"), (F.col("u_x.n") + F.col("v_x.n")).cast("long").alias("total"))
     pairs = scratch.write(close(sided.coalesce(1 + rows // 20_000)), f"{tag}-close")
     rows = pairs.count()
     scratch.drop(f"{tag}-pairs")
     gids = pairs.select(F.col("u").alias("gid")).unionByName(pairs.select(F.col("v").alias("gid"))).distinct()
-    wanted = scratch.write(gids.join(firsts, "gid").select("first_id"), f"{tag}-wanted", 2 * rows)
-    sets = scratch.write(candidate_sets(docs, wanted, wanted.count() > MOST_BROADCAST), f"{tag}-sets")
-    if sets.count() > sets.select("gid").distinct().count():  # rows repeated with one id and text
+    sets = scratch.write(candidate_sets(docs, gids.join(firsts, "gid").select("first_id"), 2 * rows > MOST_BROADCAST), f"{tag}-sets")
+    found = sets.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gid").alias("gids")).first()
+    if found["n"] > found["gids"]:  # rows repeated with one id and text
         sets = scratch.write(sets.dropDuplicates(["gid"]), f"{tag}-sets-once")
-    out = scratch.write(linked(with_sides(pairs, sets, "hashes").coalesce(1 + rows // 2000)), f"{tag}-links")
+    out = scratch.write(linked(with_sides(pairs, rows, sets, "hashes").coalesce(1 + rows // 2000)), f"{tag}-links")
     scratch.drop(f"{tag}-sets", f"{tag}-sets-once", f"{tag}-close")
     scratch.release()
     return out
@@ -376,18 +376,19 @@ def labelled(docs: DataFrame, mark: Column, scratch: Scratch, rounds: int = 3) -
     chosen = members.groupBy("owner").agg(F.min(F.struct(F.xxhash64("gid").alias("h"), "gid")).alias("s"))
     pairs = pairs.join(members.select("owner", F.col("gid").alias("u")), "owner").join(chosen.select(F.col("owner").alias("leader"), F.col("s.gid").alias("v")), "leader")
     edges = verified(pairs.where("u <> v").select("u", "v").distinct(), docs, firsts, scratch, "round-0", rows)
-    labels = components(edges, scratch, "round-0", edges.count())
+    labels = components(edges, scratch, "round-0", rows)
     # lists whose sets are not all in one component yet, expanded to these
     marked = scratch.write(labelled_sets(members, labels), "labelled-sets", texts)
     spread = marked.groupBy("owner").agg(F.min("label").alias("a"), F.max("label").alias("b"))
     open_keys = keys.join(spread, "owner").groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("key")
     open_keys = scratch.write(open_keys, "open-keys", rows)
-    lists = keys.join(open_keys, "key").select("key", "owner", "at").join(members, "owner").select("key", "gid", "n", "at")
-    lists = scratch.write(lists, "lists", rows)
+    lists = keys.join(open_keys, "key").select("key", "owner", "at").join(marked, "owner").select("key", "gid", "n", "at", "label")
+    now = lists = scratch.write(lists, "lists", rows)
     rows = lists.count()
     scratch.drop("groups", "group-pairs")
     for at in range(1, rounds + 1):
-        now = scratch.write(labelled_sets(lists, labels), f"labelled-{at}", rows)
+        if at > 1:
+            now = scratch.write(labelled_sets(lists.drop("label"), labels), f"labelled-{at}", rows)
         sizes = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("key", "m")
         sizes = scratch.write(sizes, f"keys-{at}", rows)
         long_ = sizes.where(F.col("m") > SMALL_LIST).count()
@@ -424,7 +425,7 @@ def labelled_sets(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def assigned(ids: DataFrame, firsts: DataFrame, labels: DataFrame, texts: int, scratch: Scratch) -> DataFrame:
     known = firsts.join(labels.select(F.col("node").alias("gid"), "label"), "gid", "left")
     known = scratch.write(known.select("gid", F.coalesce("label", "gid").alias("label"), "first_id"), "known", texts)
-    least = scratch.write(known.groupBy("label").agg(F.min("first_id").alias("least_id")), "least", texts)
+    least = known.groupBy("label").agg(F.min("first_id").alias("least_id"))
     known = scratch.write(known.join(least, "label").select("gid", "least_id"), "components", texts)
     out = ids.join(known, "gid", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
