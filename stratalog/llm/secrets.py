@@ -21,7 +21,9 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"([0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
-IDENTIFIER = re.compile(r"[A-Za-z]{2,}\d{0,4}([_/=+-]+[A-Za-z]{2,}\d{0,4})*[_/=+-]*|[A-Za-z]*([A-Z][a-z]{2,}\d{0,2})+")
+SEPARATED = re.compile(r"[A-Za-z]{2,}\d{0,4}([_/=+-]+[A-Za-z]{2,}\d{0,4})*[_/=+-]*")
+CASED_END = re.compile(r"[A-Z][a-z]{2,}\Z")
+CASED_REST = re.compile(r"(\d{1,2}([A-Z][a-z]{2,}\d{0,2})*)?")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
@@ -37,6 +39,17 @@ def encoding(path: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_identifier(string: str) -> bool:
+    """Words with separators between, or letters that end in capitalised words, behind each of which a few digits may stand.
+
+    Takes time in proportion to the string.
+    """
+    if SEPARATED.fullmatch(string):
+        return True
+    letters = re.match(r"[A-Za-z]*", string)[0]
+    return bool(CASED_END.search(letters) and CASED_REST.fullmatch(string, len(letters)))
+
+
 def looks_random(string: str, ratio: float, path: str | None = None) -> bool:
     """Fewer than ``ratio`` characters a token, and a letter.
 
@@ -48,32 +61,45 @@ def looks_random(string: str, ratio: float, path: str | None = None) -> bool:
     if UUID.fullmatch(string) or DIGEST.fullmatch(string) and len(string) in DIGEST_LENGTHS:
         return False
     words = re.findall(r"[A-Za-z]+", string)
-    return not (IDENTIFIER.fullmatch(string) and all(len(w) >= ratio * tokens(w, path) for w in words))
+    return not (is_identifier(string) and all(len(w) >= ratio * tokens(w, path) for w in words))
 
 
 def tokens(string: str, path: str | None = None) -> int:
     return len(encoding(path).encode_ordinary(string))
 
 
-def outside(start: int, end: int, taken: list[tuple[int, int]]):
-    """The parts of start to end that no span of ``taken`` (sorted) covers."""
-    for a, b in taken:
-        if a < end and start < b:
-            if start < a:
-                yield start, a
-            start = b
-    if start < end:
-        yield start, end
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of sorted spans as sorted spans that do not meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def scan(text: str, ratio: float = 2.0, path: str | None = None) -> list[tuple[int, int, int]]:
-    """(start, kind's place in KINDS, end) of every span, sorted; offsets are code points, ends exclusive."""
+    """(start, kind's place in KINDS, end) of every span, sorted; offsets are code points, ends exclusive.
+
+    Strings that may be random are looked for beside the spans of the fixed kinds, in one pass over both.
+    """
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    taken = sorted((a, b) for a, _, b in found)
+    taken, k = merged(sorted((a, b) for a, _, b in found)), 0
     for m in CANDIDATE.finditer(text):
-        for a, b in outside(m.start(), m.end(), taken):
+        at = m.start()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        parts = []
+        while k < len(taken) and taken[k][0] < m.end():
+            parts.append((at, taken[k][0]))
+            at = max(at, taken[k][1])
+            if at >= m.end():
+                break
+            k += 1
+        for a, b in [*parts, (at, m.end())]:
             if b - a >= LEAST and looks_random(text[a:b], ratio, path):
                 found.append((a, 3, b))
     return sorted(found)
