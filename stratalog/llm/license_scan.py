@@ -16,6 +16,10 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -92,7 +96,9 @@ def scan(docs: DataFrame, listed=TEMPLATES, least: float = 0.75, bands: int = BA
     A template matches where one window of twice its length holds at least ``least`` of its distinct five-word shingles.
     Windows overlap by half, so each passage as long as the template lies whole in one.  Only windows around an anchor
     word are formed; every template needs one (see ``anchors``), so no match is lost.  Windows that share a band with a
-    template are verified exactly.  Rows that share a doc_id share their matches.  A null or short text, or one without a match, has an empty list, 0 and 0.0.
+    template are verified exactly, once for each window and template.  Rows that share doc_id and text share their
+    matches.  A null or short text, or one without a match, has an empty list, 0 and 0.0.  Notices that differ in a version only
+    may all match.
     """
     spark = docs.sparkSession
     known = templates(spark, listed)
@@ -102,8 +108,9 @@ def scan(docs: DataFrame, listed=TEMPLATES, least: float = 0.75, bands: int = BA
     spans = sorted({r["span"] for r in notices})
     found = anchors([list(r["words"]) for r in notices])
     # rows without any anchor are done at once, before their words are split; the test reads whole texts
-    some = docs.select("doc_id", text_of("text").alias("text")).where(F.lower("text").rlike("|".join(w.replace(".", r"\.") for w in found)))
-    some = some.select("doc_id", words_of(F.col("text")).alias("words"))
+    texts = docs.select("doc_id", text_of("text").alias("text"))
+    some = texts.select("doc_id", F.xxhash64("text").alias("of"), "text").where(F.lower("text").rlike("|".join(w.replace(".", r"\.") for w in found)))
+    some = some.select("doc_id", "of", words_of(F.col("text")).alias("words"))
     listed_anchors = F.array(*map(F.lit, found))
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(listed_anchors, w), i).otherwise(F.lit(-1))), lambda i: i >= 0)
 
@@ -115,16 +122,23 @@ def scan(docs: DataFrame, listed=TEMPLATES, least: float = 0.75, bands: int = BA
 
     cut = some.withColumn("window", F.explode(F.array_distinct(F.flatten(F.array(*map(windows_of, spans))))))
     part = F.slice("words", F.col("window.from") + 1, F.col("window.span") * 2 + WIDTH - 1)
-    cut = cut.select("doc_id", F.col("window.span").alias("span"), part.alias("part")).where(F.size("part") >= WIDTH)
+    cut = cut.select("doc_id", "of", F.col("window.span").alias("span"), F.col("window.from").alias("start"), part.alias("part")).where(F.size("part") >= WIDTH)
     scratch = Scratch(spark, "license-scan")
-    cut = scratch.write(cut.select("doc_id", "span", F.array_distinct(hashed_shingles(F.col("part"))).alias("window")), "windows")
-    probes = cut.select("doc_id", "span", "window", F.explode(F.array_distinct(bands_of(F.col("window"), bands))).alias("band"))
-    index = known.select("template", "license", "span", "hashes", "n", F.explode(bands_of(F.col("hashes"), bands)).alias("band"))
+    cut = scratch.write(cut.select("doc_id", "of", "span", "start", F.array_distinct(hashed_shingles(F.col("part"))).alias("window")), "windows")
+    probes = cut.select("*", F.explode(F.array_distinct(bands_of(F.col("window"), bands))).alias("band"))
+    index = known.select("template", "span", F.explode(bands_of(F.col("hashes"), bands)).alias("band"))
     # the templates are a fixed list, one row for each of their bands
-    hits = probes.join(F.broadcast(index), ["span", "band"])
+    hits = probes.join(F.broadcast(index), ["span", "band"]).groupBy("doc_id", "of", "span", "start", "template").agg(F.first("window").alias("window"))
+    hits = hits.join(F.broadcast(known.select("template", "license", "hashes", "n")), "template")
     inside = F.size(F.array_intersect("window", "hashes")) / F.col("n")
-    hits = hits.select("doc_id", "license", "template", inside.alias("share")).where(F.col("share") >= least)
-    hits = hits.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.size(F.collect_set("template")).alias("matches"), F.max("share").alias("best"))
-    hits = scratch.write(hits.withColumnRenamed("doc_id", "_id"), "hits")
-    out = docs.select("doc_id").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("of").alias("hit_of"), "license", "template", inside.alias("share")).where(F.col("share") >= least)
+    hits = hits.groupBy("hit_id", "hit_of").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.size(F.collect_set("template")).alias("matches"), F.max("share").alias("best"))
+    hits = scratch.write(hits, "hits")
+    out = texts.select("doc_id", F.xxhash64("text").alias("of")).join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("of") == F.col("hit_of")), "left")
     return out.select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("best", F.lit(0.0)).alias("best"))
+
+
+def load_templates(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(name, text) of every .txt file of a folder of license texts, named by SPDX identifier; for ``scan(listed=...)``."""
+    files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("name"), "value")
+    return sorted((r["name"], r["value"]) for r in files.collect())
