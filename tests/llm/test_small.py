@@ -222,16 +222,33 @@ def test_topk(spark):
     v = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(130)]
     v[7] = (7, v[0][1])
     v[21] = (21, v[0][1])
-    bad = [(200, None), (201, [1.0, None]), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (None, [0.1] * 8), v[3]]
+    bad = [(200, None), (201, [1.0, None]), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (None, [0.1] * 8)]
+    v += [v[3], (3, [-x for x in v[3][1]]), (4, v[0][1] + [1.0]), (20, v[5][1])]  # repeated ids, alike and not; a longer vector
     table = spark.createDataFrame(v + bad, "vec_id long, embedding array<double>")
-    whole = {i: np.floor(np.array(x) * 64).astype(int) for i, x in v}
-    want = set()
-    for q in range(0, 130, 20):
-        best = sorted(((-int(whole[q] @ whole[i]), i) for i in whole if i != q))[:20]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    want = topk_of(v)
     for size in (1000, 16):
         got = topk.search(table, shard_rows=size, query_rows=max(1, size // 8))
-        assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(got)} == want
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(got)) == want
+
+
+def topk_of(data):
+    from math import floor
+
+    whole = [(i, [floor(64 * x) for x in v]) for i, v in data]
+    out = []
+    for q in sorted({i for i, _ in whole if i % 20 == 0}):
+        long = lambda s: max(-(2**63), min(2**63 - 1, s))
+        scores = [(-long(sum(a * b for a, b in zip(u, v))), i) for j, u in whole if j == q for i, v in whole if i != q]
+        out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:20])]
+    return out
+
+
+def test_topk_of_very_large_components(spark):
+    data = [(i, [x, 1.0]) for i, x in enumerate((1e18, -1e18, 3.0, 1e17, 2e9, 1e300, -5e9, 1.7e308))] + [(20, [1e12, 0.5])]
+    got = topk.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(got))
+    clipped = [(i, [min(x, 1.7976931348623157e308 / 64) for x in v]) for i, v in data]
+    assert found == topk_of(clipped)
 
 
 def test_mixing(docs):
@@ -408,6 +425,57 @@ def test_license_scan(spark):
     assert all(got[i]["matches"] == 0 and got[i]["licenses"] == "" for i in (500, 501, 502, 503))
 
 
+def test_license_scan_against_windows_at_every_word(spark, sf_dir):
+    """Whatever a window as long as the template holds by brute force is found, and nothing else."""
+    data = rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    got = {r["doc_id"]: r for r in rows(license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))}
+    split = lambda t: re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", (t or "").lower())
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    known = [(name, set(shingles(split(text)))) for name, text in license_scan.TEMPLATES]
+    for r in data:
+        runs, found = shingles(split(r["text"])), set()
+        for name, wanted in known:
+            at = [i for i, x in enumerate(runs) if x in wanted]
+            if any(len({runs[i] for i in at if p <= i < p + len(wanted)}) >= 0.75 * len(wanted) for p in at):
+                found.add(name)
+        assert set(filter(None, got[r["doc_id"]]["licenses"].split(","))) >= found
+        if not found:
+            assert got[r["doc_id"]]["matches"] == 0
+    assert any(r["matches"] for r in got.values())
+
+
+def test_license_scan_tells_rows_apart(spark, tmp_path):
+    mit = license_scan.TEMPLATES[1][1]
+    table = spark.createDataFrame([(None, mit), (None, "nothing of the kind in these few words"), (4, mit), (4, mit)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["licenses"]) for r in rows(license_scan.scan(table)))
+    assert got == [(0, ""), (0, "MIT"), (4, "MIT"), (4, "MIT")]
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this text\nwhatever you like to do with it.")
+    listed = license_scan.load_templates(spark, str(tmp_path))
+    assert listed[0][0] == "Own-1.0"
+    own = spark.createDataFrame([(1, "see: you may do with this text whatever you like to do with it")], "doc_id long, text string")
+    assert rows(license_scan.scan(own, listed))[0]["licenses"] == "Own-1.0"
+
+
+def test_long_identifiers_and_many_spans_take_little_time():
+    import time
+
+    began = time.time()
+    secrets.is_identifier("AbcDef" * 50_000 + "a1b")
+    secrets.is_identifier("ABCDEF" * 50_000)
+    text = " ".join(f"secret=abcdef{i} Zq{i}xW9vKp2LmT4wRs8Yb" for i in range(8000))
+    assert len(secrets.scan(text)) >= 8000
+    assert time.time() - began < 8
+    for name in ("HttpRequestHandlerFactory2", "fooBar12BazQux", "my_var2-is_here", "ABCdef"):
+        assert secrets.is_identifier(name)
+    for other in ("fooBAR", "Ab1", "12ab", "FooBar123", "foo12Bar", "q7Zx9v"):
+        assert not secrets.is_identifier(other) or secrets.SEPARATED.fullmatch(other)
+
+
+def test_redact(spark):
+    table = spark.createDataFrame([(1, "password: hunter22 is q7Zx9vKp2LmT4wRs8YbN1cJd here"), (2, None), (3, "clean")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in rows(secrets.redact(table))} == {1: "[assign] is [random] here", 2: None, 3: "clean"}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
