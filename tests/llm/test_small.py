@@ -331,9 +331,42 @@ def test_warc(spark, tmp_path):
         revisit = html == long_ and i != 1
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", 1) if revisit else ("response", None))
     import gzip
+    import io
+
+    stored = [p.read_bytes() for p in sorted((tmp_path / "out").iterdir())]
+    assert b"".join(map(gzip.decompress, stored)).count(long_.encode()) == 1
+    ids = []
+    for raw in stored:
+        members = [m for m in raw.split(b"\x1f\x8b\x08")[1:]]
+        found = list(warc.parse(io.BufferedReader(io.BytesIO(gzip.decompress(raw)))))
+        assert len(members) >= len(found) and found[0][0]["warc-type"] == "warcinfo"
+        first = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(8)
+        assert first == b"WARC/1.1"
+        for head, block in found:
+            ids.append(head["warc-record-id"])
+            if head["warc-type"] == "response":
+                status, _, payload = block.partition(b"\r\n\r\n")
+                assert status.startswith(b"HTTP/1.1 200") and f"Content-Length: {len(payload)}".encode() in status
+                assert head["content-type"] == "application/http; msgtype=response"
+    assert len(ids) == len(set(ids)) == len(pages) + len(stored)
+    small = {r["page_id"]: r for r in rows(warc.archive(table, least=5))}
+    assert (small[4]["record_type"], small[4]["refers_to"], small[4]["payload_bytes"]) == ("revisit", 2, 5)
+
+
+def test_damaged_payloads_are_seen(spark, tmp_path):
+    import gzip
+
+    from stratalog.llm.common import Scratch
 
-    stored = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").iterdir())
-    assert stored.count(long_.encode()) == 1
+    table = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 200)], "page_id long, url string, html string").coalesce(1)
+    scratch = Scratch(spark, "test-warc")
+    warc.archive(table, f"file://{tmp_path}/out")
+    (path,) = (tmp_path / "out").glob("part-*.gz")
+    files = spark.createDataFrame([(f"file://{path}",)], "file string")
+    assert warc.read_back(files, scratch).count() == 2
+    path.write_bytes(gzip.compress(gzip.decompress(path.read_bytes()).replace(b"bbbb", b"bbxb", 1)))
+    with pytest.raises(ValueError, match=r"\[2\]"):
+        warc.read_back(files, Scratch(spark, "test-warc"))
 
 
 def jaccard_components(data):
