@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from .license_scan import GROWTH, TEMPLATES, WIDTH
+
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -66,4 +68,35 @@ from w left join n using (doc_id) left join reach r on r.node = w.doc_id
 group by w.doc_id, n.n
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_topk": OP4, "op6_warc": OP6, "op7_ngram_join": OP7}
+_TOKENS = r"regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+(?:[.\-][\p{{L}}\p{{N}}]+)*)', 1)"
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+
+# shingles of every text that a template has, and the windows they lie in, which start at multiples of the template's span
+OP9 = f"""
+with t as (
+  select template, license, {_TOKENS.format("notice")} as words from (values {_NOTICES}) v(template, license, notice)
+), ts as (
+  select distinct template, license, array_to_string(words[i:i + {WIDTH - 1}], ' ') as shingle
+  from (select *, unnest(range(1, len(words) - {WIDTH - 2})) as i from t)
+), tn as (
+  select template, count(*) as n, cast(ceil(pow({GROWTH}, ceil(ln(count(*)) / ln({GROWTH}) - 1e-9))) as bigint) as span from ts group by template
+), d as (
+  select row_number() over () as place, doc_id, {_TOKENS.format("coalesce(text, '')")} as words from documents
+), ds as (
+  select place, i - 1 as p, array_to_string(words[i:i + {WIDTH - 1}], ' ') as shingle
+  from (select place, words, unnest(range(1, len(words) - {WIDTH - 2})) as i from d where len(words) >= {WIDTH})
+), hits as (
+  select place, template, license, n, shingle, p // span as w from ds join ts using (shingle) join tn using (template)
+), held as (
+  select place, template, license, count(distinct shingle) / n as share
+  from (select * from hits union all select place, template, license, n, shingle, w - 1 from hits where w > 0)
+  group by place, template, license, n, w
+), good as (
+  select place, string_agg(distinct license, ',' order by license) as licenses, count(distinct template) as matches, max(share) as best
+  from held where share >= 0.75 group by place
+)
+select d.doc_id, coalesce(g.licenses, '') as licenses, coalesce(g.matches, 0) as matches, coalesce(g.best, 0.0::double) as best
+from d left join good g using (place)
+"""
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_topk": OP4, "op6_warc": OP6, "op7_ngram_join": OP7, "op9_license_scan": OP9}
