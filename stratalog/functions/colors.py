@@ -9,17 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEX_WORD = re.compile(r"\b[0-9A-Fa-f]{8}\b")
-
-
-def dark_text(word: str) -> bool:
-    """Whether the colour of the first six digits is light enough for black text."""
-    r, g, b = (int(word[i : i + 2], 16) for i in (0, 2, 4))
-    return (0.299 * r + 0.587 * g + 0.114 * b) / 255 > 0.5
+#: The weights of red, green and blue in luminance, where text turns black, and the codes of 24-bit colours.
+LUMINANCE, LIGHT = (0.299, 0.587, 0.114), 0.5
+BACKGROUND, FOREGROUND, RESET = "\x1b[48;2;{};{};{}m", "\x1b[38;2;{}m", "\x1b[0m"
+BLACK, WHITE = "0;0;0", "255;255;255"
 
 
 def paint(word: str) -> str:
-    r, g, b = (int(word[i : i + 2], 16) for i in (0, 2, 4))
-    return f"\x1b[48;2;{r};{g};{b}m\x1b[{30 if dark_text(word) else 97}m{word}\x1b[0m"
+    """The word on the colour of its first six digits, in black if that is light, else in white."""
+    colour = bytes.fromhex(word[:6])
+    light = sum(k * c for k, c in zip(LUMINANCE, colour)) / 255 > LIGHT
+    return BACKGROUND.format(*colour) + FOREGROUND.format(BLACK if light else WHITE) + word + RESET
 
 
 def colorize(text: Column) -> Column:

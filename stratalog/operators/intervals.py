@@ -70,6 +70,11 @@ def carried(counts: DataFrame) -> DataFrame:
     return rows.withColumn("gone_count", sums).where("add_count > 0").select("room", "sg", "add_count", "gone_count")
 
 
+def ordered_lookup(deltas: DataFrame, index: DataFrame) -> DataFrame:
+    """``deltas`` with each group's place (idx), for reading them in the order of ``index``; groups outside it drop out."""
+    return deltas.join(index.select("room", "sg", "idx"), ["room", "sg"]).select("room", "idx", "sg", "type", "state_key", "event")
+
+
 def current(intervals: DataFrame) -> DataFrame:
     return intervals.where("end_index is null")
 

@@ -19,14 +19,16 @@ def dag_nodes(history: History) -> DataFrame:
     return history.edges.select("room", "sg").union(history.edges.select("room", F.col("prev").alias("sg"))).distinct()
 
 
-def closure(history: History, most_doublings: int = 40) -> DataFrame:
+def closure(history: History, most_doublings: int = 40, starts: DataFrame | None = None) -> DataFrame:
     """(room, sg, anc, depth): every ancestor of every group, itself included, with its least distance.
 
+    With ``starts`` (room, sg) only the ancestors of these groups are gathered.
+
     Pointer doubling: after k rounds all ancestors nearer than 2^k are known, so the number of joins is the logarithm of
     the depth.  Every round is written.  A cycle never stops adding ancestors at new depths and raises ValueError once
     depths pass the number of groups.  A group with several parents keeps each ancestor at its least depth.
     """
-    known = history.groups.select("room", "sg", F.col("sg").alias("anc"), F.lit(0).cast("long").alias("depth"))
+    known = (history.groups if starts is None else starts).select("room", "sg", F.col("sg").alias("anc"), F.lit(0).cast("long").alias("depth"))
     jump = history.edges.select("room", F.col("sg").alias("anc"), F.col("prev").alias("far"))
     known, jump, step = stage(known, "closure"), stage(jump, "jump"), 1
     groups = None

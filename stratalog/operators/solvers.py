@@ -124,14 +124,30 @@ def arborescence_walk(d: np.ndarray, root: int = 0) -> list[int]:
     return out
 
 
-def travelling(d: np.ndarray, sweeps: int = 30) -> list[int]:
-    """An open path from node 0: nearest neighbours, then moves of up to three nodes (never reversed) while they help."""
-    path = greedy(d)
-    n = len(path)
+def travelling(d: np.ndarray, kicks: int = 60, seed: int = 42) -> list[int]:
+    """An open path from node 0 by iterated local search; nothing is ever reversed, so distances may differ by direction.
+
+    Nearest neighbours, then runs of nodes move to where they help most.  After that two neighbouring runs of the best
+    path change places at random cuts, ``kicks`` times, and each result is improved and kept if it is shorter.
+    """
     w = d.astype(float)
+    best = improved(w, greedy(d))
+    n, length = len(best), path_length(w, best)
+    rng = np.random.default_rng(seed)
+    for _ in range(kicks if n > 4 else 0):
+        a, b, c = np.sort(rng.choice(np.arange(1, n + 1), 3, replace=False)).tolist()
+        path = improved(w, best[:a] + best[b:c] + best[a:b] + best[c:])
+        if path_length(w, path) < length - 1e-9:
+            best, length = path, path_length(w, path)
+    return best
+
+
+def improved(w: np.ndarray, path: list[int], sweeps: int = 30, runs: tuple[int, ...] = (1, 2, 3, 5, 8, 13)) -> list[int]:
+    """``path`` after moves of runs of nodes, never reversed, each to its best place, while they shorten it."""
+    n = len(path)
     for _ in range(sweeps):
         improved = False
-        for size in (1, 2, 3):
+        for size in runs:
             i = 1
             while i + size <= n:
                 before, first, last = path[i - 1], path[i], path[i + size - 1]
@@ -167,8 +183,11 @@ class Colony:
     seed: int = 42
 
 
-def ant_colony(d: np.ndarray, c: Colony = Colony()) -> tuple[list[int], float]:
-    """Best closed tour found; all ants of an iteration advance together, one column of choices at a time."""
+def ant_colony(d: np.ndarray, c: Colony = Colony(), log: list[tuple[int, float, float]] | None = None) -> tuple[list[int], float]:
+    """Best closed tour found; all ants of an iteration advance together, one column of choices at a time.
+
+    ``log`` receives (iteration, shortest tour of it, shortest so far) of every iteration.
+    """
     n = len(d)
     if n < 2:
         return list(range(n)), 0.0
@@ -208,6 +227,8 @@ def ant_colony(d: np.ndarray, c: Colony = Colony()) -> tuple[list[int], float]:
             best, length, idle = tours[k].tolist(), float(lengths[k]), 0
         else:
             idle += 1
+        if log is not None:
+            log.append((len(log), float(lengths[k]), length))
         tau *= 1 - c.rho
         give = np.repeat(c.deposit / np.maximum(lengths, 1e-9), n)
         a, b = tours.ravel(), np.roll(tours, -1, 1).ravel()
@@ -224,13 +245,13 @@ def ant_colony(d: np.ndarray, c: Colony = Colony()) -> tuple[list[int], float]:
 
 
 def reorder(nodes: list[int], branches: list[tuple[int, int, int]]) -> list[int]:
-    """Moves, one branch after the other, the nodes in [start, end) right behind the node ``branch``."""
+    """Moves, one branch after the other, the nodes in [start, end) right behind the node ``branch``, which must be elsewhere."""
     out = list(nodes)
     for start, end, branch in branches:
         moved = [x for x in out if start <= x < end]
         rest = [x for x in out if not start <= x < end]
         if branch not in rest:
-            continue
+            raise ValueError(f"the branch point {branch} is not among the other nodes")
         at = rest.index(branch) + 1
         out = rest[:at] + moved + rest[at:]
     return out

@@ -12,11 +12,22 @@ from ..operators import intervals, resolve, segments
 from ..session import stage
 from ..sources import histories
 
-_LAKES: dict[tuple[str, str], "Lake"] = {}
+_LAKES: dict[tuple, "Lake"] = {}
+INPUTS = ("events", "documents", "orders", "lineitem", "conversations")
+
+
+def changed(spark: SparkSession, path: str) -> tuple[int, ...]:
+    """When a file, or a folder and the files in it, changed last; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ()
+    return tuple(s.getModificationTime() for s in [fs.getFileStatus(at), *fs.listStatus(at)])
 
 
 def lake(spark: SparkSession, sf_dir: str) -> "Lake":
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The staged tables over a folder; if its files have changed, new ones."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(changed(spark, f"{sf_dir}/{name}.parquet") for name in INPUTS))
     if key not in _LAKES:
         _LAKES[key] = Lake(spark, sf_dir)
     return _LAKES[key]

@@ -31,6 +31,29 @@ def _best(probes: str, column: str, side: str, hashes: str = "hashes") -> str:
       group by room, probe"""
 
 
+def _solved(paths: str) -> str:
+    """Ranks from the longest ``path`` of each room."""
+    return f"select room, unnest(path) as segment, generate_subscripts(path, 1) - 1 as rank from (select room, arg_max(path, len(path)) as path from {paths} group by room)"
+
+
+def _hilbert(name: str, dims: int) -> str:
+    """Keys of the points x of ``name``_steps once all its steps are made."""
+    bits = min(63, 8 * dims)
+    return f"""
+      select room, sg, cast(list_sum(list_transform(range({bits}), lambda p: ((xor(y[p % {dims} + 1], t) >> (7 - p // {dims})) & 1) << ({bits} - 1 - p))) as bigint) as ordering
+      from (select *, list_reduce(list_transform([128, 64, 32, 16, 8, 4, 2, 1], lambda q: case when y[{dims}] & q <> 0 then q - 1 else 0 end), lambda a, b: xor(a, b)) as t
+        from (select room, sg, list_transform(range(1, {dims + 1}), lambda k: list_reduce(x[1:k], lambda a, b: xor(a, b))) as y from {name}_steps where s = {7 * dims}))"""
+
+
+def _hilbert_steps(name: str, dims: int, start: str) -> str:
+    q, i = f"(128 >> (s // {dims}))", f"(s % {dims} + 1)"
+    return f"""
+      select room, sg, {start} as x, 0 as s from hashes union all
+      select room, sg, case when x[{i}] & {q} <> 0 then list_transform(x, lambda v, k: case when k = 1 then xor(v, {q} - 1) else v end)
+        else list_transform(x, lambda v, k: case when k = 1 or k = {i} then xor(v, xor(x[1], x[{i}]) & ({q} - 1)) else v end) end, s + 1
+      from {name}_steps where s < {7 * dims}"""
+
+
 CTES = {
     "ev": """select event_id as sg, '!r' || (user_id // 10) as room, event_type as typ, cast(user_id as varchar) as skey, event_id as eid,
                row_number() over (partition by user_id // 10 order by event_id) as rn from events""",
@@ -81,11 +104,45 @@ CTES = {
                from hashes p join hashes c on p.room = c.room and c.sg < p.sg and p.add_count + p.gone_count > 5 and list_has_any(c.lsh_bands, p.lsh_bands)
                where len(list_filter(c.lsh_bands, lambda x: list_contains(p.lsh_bands, x))) >= 8) group by room, probe""",
     "falling": "select room, sg, -segment as ordering from segs",
+    "dist": """select a.room, a.segment as i, b.segment as j, case when a.segment = b.segment then 0
+          when len(list_intersect(x.lsh_bands, y.lsh_bands)) > 0 then (16 - len(list_intersect(x.lsh_bands, y.lsh_bands))) * 8
+          else 128 - len(list_intersect(x.minhash, y.minhash)) end as distance
+        from ends a join ends b on a.room = b.room join hashes x on x.room = a.room and x.sg = a.end_sg join hashes y on y.room = b.room and y.sg = b.start_sg""",
+    "near": "select room, i, list(j order by distance, j) as js from dist group by room, i",
+    "hops": """select room, [0::bigint] as path from near where i = 0 union all
+               select h.room, list_append(h.path, list_filter(n.js, lambda x: not list_contains(h.path, x))[1]) from hops h join near n on n.room = h.room and n.i = h.path[-1]
+               where len(h.path) < len(n.js)""",
+    "greedy": _solved("hops"),
+    "greedy_idx": """select room, sg, row_number() over (partition by room order by rank, sg) - 1 as idx, count(*) over (partition by room) as n
+               from segs join greedy using (room, segment)""",
+    "greedy_runs": """select room, event, min(idx) as start_index, case when max(idx) + 1 < max(n) then max(idx) + 1 end as end_index from (
+               select s.room, s.event, i.idx, i.n, i.idx - row_number() over (partition by s.room, s.event order by i.idx) as run
+               from (select distinct room, sg, event from state) s join greedy_idx i using (room, sg)) group by room, event, run""",
+    "sym": "select a.room, a.i, a.j, least(a.distance, b.distance) as w from dist a join dist b on a.room = b.room and a.i = b.j and a.j = b.i where a.i <> a.j",
+    "prim": """select room, [0::bigint] as path, null::bigint as source from near where i = 0 union all
+               select t.room, list_append(any_value(t.path), arg_min(s.j, [s.w, s.j, list_position(t.path, s.i)])), arg_min(s.i, [s.w, s.j, list_position(t.path, s.i)])
+               from prim t join sym s on s.room = t.room and list_contains(t.path, s.i) and not list_contains(t.path, s.j) group by t.room""",
+    "tree": "select p.room, p.source as a, p.path[-1] as b, s.w from prim p join sym s on s.room = p.room and s.i = p.source and s.j = p.path[-1]",
+    "branchlets": "select room, a, b, w from tree union all select room, b, a, w from tree",
+    "leaves": """select n.room, min(n.i) as leaf from near n left join (select room, a, count(*) as degree from branchlets group by room, a) d on d.room = n.room and d.a = n.i
+               where coalesce(d.degree, 0) <= 1 group by n.room""",
+    "walk": """select room, leaf as node, null::bigint as parent, 0 as depth, [0::bigint] as way from leaves union all
+               select k.room, b.b, k.node, k.depth + 1, list_concat(k.way, [b.w, b.b]) from walk k join branchlets b on b.room = k.room and b.a = k.node and b.b is distinct from k.parent""",
+    "moves": """select room, start, coalesce(lead(start) over w, 9223372036854775807) as stop, branch, row_number() over w as k from found window w as (partition by room order by start)""",
+    "moved": """select room, 0::bigint as k, list(sg order by sg) as nodes from hashes group by room union all
+               select room, k, list_concat(list_concat(rest[1:list_position(rest, branch)], list_filter(nodes, lambda x: x >= start and x < stop)), rest[list_position(rest, branch) + 1:]) from (
+                 select m.room, m.k, v.nodes, m.start, m.stop, m.branch, list_filter(v.nodes, lambda x: x < m.start or x >= m.stop) as rest
+                 from moved v join moves m on m.room = v.room and m.k = v.k + 1)""",
+    "lines": """select room, sg, 0 as depth, [sg] as way from ev where sg not in (select sg from edges) union all
+               select e.room, e.sg, l.depth + 1, list_append(l.way, e.sg) from lines l join edges e on e.room = l.room and e.prev = l.sg""",
+    "bands_steps": _hilbert_steps("bands", 16, "list_transform(lsh_bands, lambda v: v % 256)"),
+    "folded_steps": _hilbert_steps("folded", 8, "list_transform(range(8), lambda k: cast(list_sum(minhash[16 * k + 1:16 * k + 16]) as bigint) % 256)"),
+    "painted": """select room, sg, list_transform(lsh_bands, lambda x: lpad(lower(to_hex(x & 4294967295)), 8, '0')) as words from doc_hashes""",
     "order_lines": "select distinct o_custkey, l_orderkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey",
     "reach": "select sg as node, sg as other from ev union select r.node, case when e.sg = r.other then e.prev else e.sg end from reach r join edges e on e.sg = r.other or e.prev = r.other",
     "turns": "select cast(conv_id as varchar) as room, conv_id, conv_id * 1000 + turn as sg, turn, role from conversations",
 }
-_RECURSIVE = ("closure", "reach")
+_RECURSIVE = ("closure", "reach", "hops", "prim", "walk", "moved", "lines", "bands_steps", "folded_steps")
 _HEX = "lpad(lower(to_hex(x & 4294967295)), 8, '0')"
 
 FINAL = {
@@ -123,10 +180,24 @@ FINAL = {
     "branch_points_future": "select room, probe, match, round(similarity, 6) as similarity from future_bands",
     "branch_points_fallback": "select room, probe, match, round(similarity, 6) as similarity from past",
     "segment_labels": "select * from segs",
-    "segment_distance": """select a.room, a.segment as i, b.segment as j, case when a.segment = b.segment then 0
-          when len(list_intersect(x.lsh_bands, y.lsh_bands)) > 0 then (16 - len(list_intersect(x.lsh_bands, y.lsh_bands))) * 8
-          else 128 - len(list_intersect(x.minhash, y.minhash)) end as distance
-        from ends a join ends b on a.room = b.room join hashes x on x.room = a.room and x.sg = a.end_sg join hashes y on y.room = b.room and y.sg = b.start_sg""",
+    "segment_distance": "select * from dist",
+    "order_greedy": "select s.room, s.sg, g.rank as ordering from segs s join greedy g using (room, segment)",
+    "reordered_intervals": """select r.room, r.event, r.start_index, r.end_index, a.sg as start_sg_id, b.sg as end_sg_id
+        from greedy_runs r join greedy_idx a on a.room = r.room and a.idx = r.start_index left join greedy_idx b on b.room = r.room and b.idx = r.end_index""",
+    "order_mst": "select s.room, s.sg, w.rank as ordering from segs s join (select room, node, row_number() over (partition by room order by depth, way) - 1 as rank from walk) w on w.room = s.room and w.node = s.segment",
+    "order_dfs": "select s.room, s.sg, w.rank as ordering from segs s join (select room, node, row_number() over (partition by room order by way) - 1 as rank from walk) w on w.room = s.room and w.node = s.segment",
+    "order_branches": "select room, unnest(nodes) as sg, generate_subscripts(nodes, 1) - 1 as ordering from (select room, arg_max(nodes, k) as nodes from moved group by room)",
+    "order_topological": "select room, sg, row_number() over (partition by room order by way[1], depth, way) - 1 as ordering from lines",
+    "order_hilbert": _hilbert("bands", 16),
+    "order_hilbert_folded": _hilbert("folded", 8),
+    "colorize": """select room, sg, array_to_string(list_transform(words, lambda x: chr(27) || '[48;2;' || ('0x' || x[1:2])::int || ';' || ('0x' || x[3:4])::int || ';' || ('0x' || x[5:6])::int || 'm'
+        || chr(27) || '[38;2;' || case when (0.299::double * ('0x' || x[1:2])::int + 0.587::double * ('0x' || x[3:4])::int + 0.114::double * ('0x' || x[5:6])::int) / 255 > 0.5 then '0;0;0' else '255;255;255' end
+        || 'm' || x || chr(27) || '[0m'), ' ') as painted from painted""",
+    "asof_tables": "select p.room, p.point, s.event from sg_points p join state s on s.room = p.room and s.sg = p.point",
+    "asof_reordered": "select distinct p.room, p.point, s.event from sg_points p join state s on s.room = p.room and s.sg = p.point",
+    "index_non_empty": "select room, sg, row_number() over (partition by room order by sg) - 1 as idx from (select distinct room, sg from deltas where sg % 7 <> 0)",
+    "ordered_lookup": """select d.room, i.idx, d.sg, d.typ as type, d.skey as state_key, d.eid as event
+        from deltas d join (select room, sg, row_number() over (partition by room order by ordering, sg) - 1 as idx from falling) i on i.room = d.room and i.sg = d.sg""",
     "band_distance": """select room, sg, next_sg, len(lsh_bands) - len(list_intersect(lsh_bands, next)) as distance from (
         select room, sg, lsh_bands, lead(sg) over w as next_sg, lead(lsh_bands) over w as next from hashes window w as (partition by room order by sg)) where next_sg is not null""",
     "branch_detection": "select * from found",

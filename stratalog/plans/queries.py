@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..functions.signatures import hex8, jaccard, shared_bands
 from ..operators import diagnostics, intervals, ordering, resolve, segments, solvers
-from ..sources import histories
+from ..session import shared_dir, stage
+from ..sources import files, histories
 from .lake import Lake, lake
 
 QUERIES = {}
+COLONY = solvers.Colony(ants=100, iterations=100)
 
 
 def query(f):
@@ -100,8 +104,50 @@ def asof_state_union(t: Lake) -> DataFrame:
 @query
 def asof_recursive(t: Lake) -> DataFrame:
     points = _by_group(t)[1].withColumnRenamed("point", "sg")
-    wanted = t.closure.join(points, ["room", "sg"], "left_semi")
-    return resolve.full_state_by_id(t.history, wanted).select("room", F.col("sg").alias("point"), "event")
+    return resolve.full_state_by_id(t.history, resolve.closure(t.history, starts=points)).select("room", F.col("sg").alias("point"), "event")
+
+
+@query
+def asof_tables(t: Lake) -> DataFrame:
+    """The same from the three input tables, by the nearest ancestor."""
+    h = histories.from_tables(*histories.to_tables(t.history))
+    points = _by_group(t)[1].withColumnRenamed("point", "sg")
+    found = resolve.full_state(h, resolve.closure(h, starts=points))
+    return found.select("room", F.col("sg").alias("point"), F.col("event").cast("long").alias("event"))
+
+
+@query
+def asof_reordered(t: Lake) -> DataFrame:
+    """The states of groups from a table encoded in travelling order and written by room and start; groups by their index."""
+    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.distances, "tsp")), "reordered-index")
+    runs = intervals.with_events(intervals.with_groups(intervals.encode(t.state, index), index), t.history.deltas)
+    path = f"{shared_dir(t.spark)}/reordered-{uuid.uuid4().hex[:12]}"
+    files.write_table(runs, path)
+    table = t.spark.read.schema(runs.schema).parquet(path)
+    points = index.join(_by_group(t)[1].withColumnRenamed("point", "sg"), ["room", "sg"]).select("room", "sg", F.col("idx").alias("point"))
+    found = intervals.as_of(table, points)
+    return found.join(points, ["room", "point"]).select("room", F.col("sg").alias("point"), "event")
+
+
+@query
+def reordered_intervals(t: Lake) -> DataFrame:
+    """The state table in greedy order: runs with indexes and groups."""
+    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.distances, "greedy")), "greedy-index")
+    return intervals.with_groups(intervals.encode(t.state, index), index)
+
+
+@query
+def index_non_empty(t: Lake) -> DataFrame:
+    """Places of the groups with deltas, where each seventh group has none."""
+    deltas = t.history.deltas.where("sg % 7 <> 0")
+    return intervals.chronological(intervals.non_empty(t.history.groups, deltas)).select("room", "sg", "idx")
+
+
+@query
+def ordered_lookup(t: Lake) -> DataFrame:
+    """Delta rows with the place of their group by falling segment number."""
+    index = intervals.dense_index(t.segments.select("room", "sg", (-F.col("segment")).alias("ordering")))
+    return intervals.ordered_lookup(t.history.deltas, index)
 
 
 @query
@@ -262,8 +308,7 @@ def conversation_state(t: Lake) -> DataFrame:
 
 def _ordered(solver: str):
     def run(t: Lake) -> DataFrame:
-        colony = solvers.Colony(iterations=40)
-        return ordering.by_segments(t.segments, t.distances, solver, colony)
+        return ordering.by_segments(t.segments, t.distances, solver, COLONY)
 
     run.__name__ = f"order_{solver}"
     return query(run)
@@ -283,6 +328,11 @@ def order_hilbert(t: Lake) -> DataFrame:
     return ordering.by_hilbert(t.hashes)
 
 
+@query
+def order_hilbert_folded(t: Lake) -> DataFrame:
+    return ordering.by_hilbert(t.hashes, folded=True)
+
+
 @query
 def order_topological(t: Lake) -> DataFrame:
     return ordering.by_topology(t.history, resolve.chunks(t.history))
@@ -297,8 +347,8 @@ def order_comparison(t: Lake) -> DataFrame:
         "branches": order_branches(t),
         "hilbert": order_hilbert(t),
     }
-    for solver in ("greedy", "mst", "msa", "tsp", "aco"):
-        orders[solver] = ordering.by_segments(t.segments, t.distances, solver, solvers.Colony(iterations=40))
+    for solver in ("greedy", "mst", "dfs", "msa", "tsp", "aco"):
+        orders[solver] = ordering.by_segments(t.segments, t.distances, solver, COLONY)
     out = None
     for name, order in orders.items():
         rows = intervals.encode(t.state, intervals.dense_index(order)).agg(F.count(F.lit(1)).alias("intervals")).withColumn("ordering", F.lit(name))

@@ -67,6 +67,14 @@ def basket_members(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return lines.join(orders, "l_orderkey").select("room", F.col("l_orderkey").alias("sg"), F.col("l_partkey").alias("member"))
 
 
+def to_tables(history: History) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The history as tables of the schemas in ``schemas``: state groups, edges, deltas."""
+    g = history.groups.select(F.col("sg").alias("id"), F.col("room").alias("room_id"), F.col("sg").cast("string").alias("event_id"))
+    e = history.edges.select(F.col("sg").alias("state_group"), F.col("prev").alias("prev_state_group"))
+    d = history.deltas.select(F.col("sg").alias("state_group"), F.col("room").alias("room_id"), "type", "state_key", F.col("event").cast("string").alias("event_id"))
+    return g, e, d
+
+
 def from_tables(groups: DataFrame, edges: DataFrame, deltas: DataFrame) -> History:
     """From tables of the schemas in ``schemas``; edges take the room of their child group."""
     g = groups.select(F.col("room_id").alias("room"), F.col("id").alias("sg"))

@@ -11,6 +11,44 @@ def test_reorder():
     nodes = list(range(101, 116))
     assert solvers.reorder(nodes, [(105, 110, 102), (110, 115, 107)]) == [101, 102, 105, 106, 107, 110, 111, 112, 113, 114, 108, 109, 103, 104, 115]
     assert solvers.reorder(nodes, []) == nodes
+    with pytest.raises(ValueError):
+        solvers.reorder(nodes, [(105, 110, 107)])
+
+
+def test_travelling_is_near_the_best_path():
+    from itertools import permutations
+
+    for seed in range(8):
+        d = np.random.default_rng(seed).integers(1, 50, (8, 8))
+        best = min(solvers.path_length(d, [0, *p]) for p in permutations(range(1, 8)))
+        assert solvers.path_length(d, solvers.travelling(d)) <= 1.05 * best
+
+
+def test_spanning_tree_has_the_least_weight():
+    from itertools import combinations
+
+    for seed in range(10):
+        d = np.random.default_rng(seed).integers(0, 9, (5, 5))
+        w = np.minimum(d, d.T)
+        every = list(combinations(range(5), 2))
+        least = min(sum(w[a, b] for a, b in tree) for tree in combinations(every, 4) if _connected(tree, 5))
+        assert sum(w[a, b] for a, b in solvers.minimum_spanning_tree(d)) == least
+
+
+def _connected(edges, n):
+    seen = {0}
+    for _ in range(n):
+        seen |= {x for e in edges if set(e) & seen for x in e}
+    return len(seen) == n
+
+
+def test_ants_take_the_next_id_where_all_is_lost_and_log_their_way():
+    d = np.random.default_rng(3).integers(1, 30, (20, 20))
+    log = []
+    path, length = solvers.ant_colony(d, solvers.Colony(ants=10, iterations=15, next_id=True, symmetric=True, beta=200.0), log)
+    assert sorted(path) == list(range(20)) and length == solvers.path_length(d, path, closed=True)
+    assert [x[0] for x in log] == list(range(len(log))) and log[-1][2] == length
+    assert all(a[2] >= b[2] for a, b in zip(log, log[1:]))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 25])
@@ -66,7 +104,8 @@ def test_hilbert_neighbours_touch():
 def test_hex_and_colours(spark):
     row = spark.sql("select -1 as a, 255 as b").select(hex8(__import__("pyspark").sql.functions.col("a")), hex8(__import__("pyspark").sql.functions.col("b"))).first()
     assert tuple(row) == ("ffffffff", "000000ff")
-    assert colors.dark_text("ffffff00") and not colors.dark_text("00000000")
+    assert colors.paint("ffffff00") == "\x1b[48;2;255;255;255m\x1b[38;2;0;0;0mffffff00\x1b[0m"
+    assert colors.paint("00000000") == "\x1b[48;2;0;0;0m\x1b[38;2;255;255;255m00000000\x1b[0m"
     assert colors.HEX_WORD.findall("ffffff00 123 0123456789 DEADBEEF") == ["ffffff00", "DEADBEEF"]
 
 
@@ -137,6 +176,11 @@ def test_files(spark, tmp_path):
     for codec in ("none", "gzip"):
         files.write_csv(df, str(tmp_path / codec), codec)
         assert files.read_csv(spark, str(tmp_path / codec), df.schema).exceptAll(df).isEmpty()
+    files.read_zstd_csv(files.write_zstd_csv(df, f"{tmp_path}/zstd"), df.schema).exceptAll(df).isEmpty()
+    assert files.read_zstd_csv(files.write_zstd_csv(df, f"{tmp_path}/zstd"), df.schema).count() == 2
+    matrix = spark.createDataFrame([(0, 0, 0), (0, 1, 3), (1, 0, 4), (1, 1, 0)], "i int, j int, distance int")
+    files.write_matrix(matrix, str(tmp_path / "dump"))
+    assert {(r["i"], tuple(r["row"])) for r in files.read_matrix(spark, str(tmp_path / "dump")).collect()} == {(0, (0, 3)), (1, (4, 0))}
     files.write_dot(spark.createDataFrame([(1, 2, 5), (3, 1, 7)], "u long, v long, weight long"), str(tmp_path / "dot"))
     text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "dot")).collect())
     assert '1 -> 2 [label="5"];' in text and '3 -> 1 [label="7" style="dotted"];' in text
