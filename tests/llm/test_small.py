@@ -663,3 +663,46 @@ def test_join_with_long_lists_and_many_groups(spark, monkeypatch):
     table = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(ngram_join.link(table))), key=repr)
     assert got == jaccard_components(made)
+
+
+def run_over(spark, folder, docs, labels):
+    import corpus_pipeline
+
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    return rows(corpus_pipeline.run(spark, str(folder)))
+
+
+def test_pipeline_run_on_edges(spark, docs, empty, tmp_path):
+    """Nulls, repeated rows, copies, long and empty texts and clashing names; without labels nothing is toxic."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert run_over(spark, tmp_path / "empty", empty, labels) == []
+    packed = run_over(spark, tmp_path / "edges", docs, labels)
+    groups = defaultdict(list)
+    for r in rows(docs):
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")].append(r)
+    least = lambda rs: min((r["doc_id"] is None, r["doc_id"] or 0) for r in rs)
+    once = [next(r for r in rs if (r["doc_id"] is None, r["doc_id"] or 0) == least(rs)) for rs in groups.values()]
+    component = {d: c for d, _, c in jaccard_components([(r["doc_id"], r["text"]) for r in once])}
+    stay = [r for r in once if component[r["doc_id"]] == r["doc_id"]]
+    pieces = defaultdict(list)
+    for r in packed:
+        pieces[r["doc_id"], r["doc_tokens"]].append((r["start"], r["length"]))
+    assert {i for i, _ in pieces} <= {r["doc_id"] for r in stay}
+    taken, words = 0, lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    of = {r["doc_id"]: r for r in stay}
+    for (i, total), found in pieces.items():
+        copies = sum(n for _, n in found) / total
+        assert copies in (1, 2) and {s for s, _ in found} == {s for s, _ in found if found.count((s, dict(found)[s])) == copies}
+        taken += copies * words(of[i])
+    whole = sum(map(words, stay))
+    assert abs(taken - 1.5 * whole) <= 0.02 * whole + max(map(words, stay)) / 2
+
+
+def test_pipeline_run_rejects_toxic_rows(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    made = [(i, " ".join([*(f"{w}{rng.integers(9)}" for w in rng.choice(WORDS, 30)), *(["scumbag", "idiot"] if i % 3 == 0 else [])]), "en", f"s{i % 2}", 0) for i in range(240)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 240)], "doc_id long, quality int, toxic int")
+    ids = {r["doc_id"] for r in run_over(spark, tmp_path, docs, labels)}
+    assert ids == {i for i in range(240) if i % 3}
