@@ -161,6 +161,15 @@ def linear_part(x: Rows, lasso: float, steps: int, rounds: int = 6) -> tuple[flo
     return bias, w
 
 
+HELD = 5  # one of so many rows is not learned from, but decides when to stop and where scores fall
+
+
+def set_aside(rows: list[np.ndarray], seed: int, held: int = HELD) -> tuple[list[int], list[int]]:
+    """Numbers of the rows with terms: every ``held``-th of a seeded order, and the others."""
+    full = [i for i in np.random.default_rng(seed).permutation(len(rows)).tolist() if len(rows[i])]
+    return full[::held], [i for k, i in enumerate(full) if k % held]
+
+
 def fit(
     rows: list[np.ndarray],
     labels: np.ndarray,
@@ -171,20 +180,20 @@ def fit(
     epochs: int = 20,
     patience: int = 3,
     batch: int = 256,
-    held: int = 5,
     seed: int = 5,
     bits: int = SPACE_BITS,
 ) -> FactorizationMachine:
     """Learns from all terms of all rows; both classes weigh the same, so logits are for even odds.
 
     The linear part is fitted first, with an L1 penalty.  Then linear part and factors learn together in seeded batches,
-    the factors with L2 decay.  Every ``held``-th row of a seeded order stays aside for that: the epoch with the least
+    the factors with L2 decay.  The rows of ``set_aside`` are not learned from: the epoch with the least
     loss on these rows is kept, and after ``patience`` epochs without a better one learning ends.  So pairs count only
     as far as they tell more about rows not learned from.  Terms that no row has keep zero weights.  ``factors`` 0 gives
     the linear part alone.
     """
     rng = np.random.default_rng(seed)
-    full = [i for i in rng.permutation(len(rows)).tolist() if len(rows[i])]
+    aside, taught = set_aside(rows, seed)
+    full = aside + taught
     y = labels.astype(np.int64)
     nothing = FactorizationMachine(0.0, np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
     if not full:
@@ -192,9 +201,8 @@ def fit(
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     scale = float(np.mean([len(rows[i]) for i in full])) ** -0.5
     make = lambda part: Rows([rows[i] for i in part], y[part], weight[part], scale)
-    aside, taught = full[::held], [i for k, i in enumerate(full) if k % held]
-    if not factors or not taught or len(set(y[taught].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
-        aside, taught, factors = [], full, 0
+    if not taught or len(set(y[taught].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
+        aside, taught, factors = [], full, 0  # too few rows to set some aside
     x = make(taught)
     bias, lean = linear_part(x, lasso, steps)
     w, v = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, factors), np.float32)
@@ -265,7 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, seed: int =
         return constant(float(np.log(rate / (1 - rate))))
     terms_of = [np.frombuffer(r[2], dtype=np.int32) for r in rows]
     machine = fit(terms_of, y, seed=seed)
-    machine.bias += shift(np.array([machine.logit(t) for t in terms_of]), y, rate)
+    unseen = set_aside(terms_of, seed)[0]
+    if len(set(y[unseen].tolist())) < 2:
+        unseen = list(range(len(y)))
+    machine.bias += shift(np.array([machine.logit(terms_of[i]) for i in unseen]), y[unseen], rate)
     return machine
 
 
