@@ -124,7 +124,7 @@ def arborescence_walk(d: np.ndarray, root: int = 0) -> list[int]:
     return out
 
 
-def travelling(d: np.ndarray, kicks: int = 60, seed: int = 42) -> list[int]:
+def travelling(d: np.ndarray, kicks: int = 20, seed: int = 42) -> list[int]:
     """An open path from node 0 by iterated local search; nothing is ever reversed, so distances may differ by direction.
 
     Nearest neighbours, then runs of nodes move to where they help most.  After that two neighbouring runs of the best
