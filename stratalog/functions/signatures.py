@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import PARAMS
-from ..session import stage
 
 PRIME = (1 << 31) - 1
 
@@ -24,20 +27,40 @@ def md5_long(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def least_hashes(flat: np.ndarray, lengths: np.ndarray, a: list[int], b: list[int]) -> np.ndarray:
+    """For each set, laid out one after another in ``flat``, the least (a * h + b) mod 2^31 - 1 of each permutation; -1 for an empty set."""
+    out = np.full((len(lengths), len(a)), -1, dtype=np.int32)
+    some = np.flatnonzero(lengths)
+    if len(some):
+        starts = (np.cumsum(lengths) - lengths)[some]
+        for i, (x, y) in enumerate(zip(a, b)):
+            v = flat * x + y  # below 2^62 + 2^31
+            v = (v & PRIME) + (v >> 31)
+            v = (v & PRIME) + (v >> 31)
+            out[some, i] = np.minimum.reduceat(np.where(v == PRIME, 0, v), starts)
+    return out
+
+
 def signatures(members: DataFrame, n: int = PARAMS.permutations, bands: int = PARAMS.bands) -> DataFrame:
-    """(room, sg, minhash, lsh_bands) from (room, sg, member).
+    """(room, sg, minhash, lsh_bands) from (room, sg, member); null members count for nothing, a set of them has a signature of nulls.
 
-    The member hashes are written first: the permutations then read them instead of hashing every member n times.
+    Array lambdas are interpreted for each member and permutation, so Arrow batches go through numpy instead.
     """
     a, b = permutations(n)
     hashed = members.groupBy("room", "sg").agg(F.array_distinct(F.collect_list(F.pmod(md5_long(F.col("member")), F.lit(PRIME)))).alias("h"))
-    hashed = stage(hashed, "member-hashes")
 
-    def least(i: int) -> Column:
-        return F.array_min(F.transform("h", lambda h: (h * a[i] + b[i]) % PRIME)).cast("int")
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("h")
+            lengths = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            least = least_hashes(sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths, a, b)
+            values = pa.array(least.ravel(), mask=least.ravel() < 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * n), values)
+            yield pa.RecordBatch.from_arrays([batch.column("room"), batch.column("sg"), lists], ["room", "sg", "minhash"])
 
-    signed = hashed.select("room", "sg", F.array(*map(least, range(n))).alias("minhash"))
-    return signed.withColumn("lsh_bands", lsh_bands(F.col("minhash"), n, bands))
+    kinds = members.schema
+    schema = T.StructType([T.StructField("room", kinds["room"].dataType), T.StructField("sg", kinds["sg"].dataType), T.StructField("minhash", T.ArrayType(T.IntegerType()))])
+    return hashed.mapInArrow(sign, schema).withColumn("lsh_bands", lsh_bands(F.col("minhash"), n, bands))
 
 
 def lsh_bands(minhash: Column, n: int = PARAMS.permutations, bands: int = PARAMS.bands) -> Column:
@@ -51,6 +74,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return same / F.size(a)
 
 
+def placed(minhash: Column) -> Column:
+    """The values of a signature with their places, as numbers: two signatures share as many of them as they have equal positions."""
+    return F.array_compact(F.transform(minhash, lambda x, i: x.cast("long") + i.cast("long") * F.lit(1 << 31)))
+
+
 def shared_bands(mine: Column, other: Column) -> Column:
     """How many of ``mine`` occur in ``other``, repeats counted."""
     return F.size(F.filter(mine, lambda x: F.array_contains(other, x)))

@@ -11,14 +11,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hilbert import folded_key, hilbert_key
+from ..schemas import PARAMS
+from ..session import stage
 from ..sources.histories import History
-from . import solvers
+from . import segments, solvers
 
 SCHEMA = "room string, sg long, ordering long"
 
 
-def by_segments(labelled: DataFrame, distances: DataFrame, solver: str, colony: solvers.Colony = solvers.Colony()) -> DataFrame:
-    """Solves each room's segment matrix and lays out the groups by segment rank; raises if a segment is lost."""
+def common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """How many distinct values each of ``rows`` shares with each of ``columns``; values that occur on one side only cost nothing."""
+    out = np.zeros((len(rows), len(columns)), dtype=np.int16)
+    places = []
+    for side in (rows, columns):
+        sets = [np.unique(x) for x in side]
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(values, kind="stable")
+        found, starts = np.unique(values[order], return_index=True)
+        places.append((found, np.split(owner[order], starts[1:])))
+    (left, left_owners), (right, right_owners) = places
+    _, at, to = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    for x, y in zip(at, to):
+        out[np.ix_(left_owners[x], right_owners[y])] += 1
+    return out
+
+
+def distance_matrix(rows: pd.DataFrame, n: int = PARAMS.permutations, bands: int = PARAMS.bands) -> np.ndarray:
+    """The matrix of ``segments.segment_distance`` from a room's ``segment_signatures``, in order of segments."""
+    k = common(rows["end_bands"].tolist(), rows["start_bands"].tolist())
+    d = np.where(k > 0, (bands - k) * (n // bands), n - common(rows["end_minhash"].tolist(), rows["start_minhash"].tolist())).astype(np.int64)
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def by_segments(labelled: DataFrame, hashes: DataFrame, solver: str, colony: solvers.Colony = solvers.Colony()) -> DataFrame:
+    """Solves each room's segment matrix and lays out the groups by segment rank; raises if a segment is lost.
+
+    A room's segments travel as two signatures each and become a matrix in its task.  Rooms are few bytes and much work, so
+    they are dealt over all cores by a fixed number of partitions, which is not coalesced by size.
+    """
     solve = {
         "greedy": solvers.greedy,
         "mst": lambda d: solvers.tree_walk(d, solvers.minimum_spanning_tree(d)),
@@ -29,13 +60,15 @@ def by_segments(labelled: DataFrame, distances: DataFrame, solver: str, colony:
     }[solver]
 
     def room(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["i"].max()) + 1
-        d = np.zeros((n, n), dtype=np.int64)
-        d[rows["i"], rows["j"]] = rows["distance"]
-        path = solvers.check_permutation(solve(d), n)
-        return pd.DataFrame({"room": rows["room"].iloc[0], "segment": path, "rank": range(n)})
-
-    ranks = distances.groupBy("room").applyInPandas(room, "room string, segment long, rank long")
+        rows = rows.sort_values("segment", ignore_index=True)
+        n = len(rows)
+        path = solvers.check_permutation(solve(distance_matrix(rows)), n)
+        return pd.DataFrame({"room": rows["room"].iloc[0], "segment": rows["segment"].to_numpy()[path], "rank": range(n)})
+
+    spark = labelled.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    signed = segments.segment_signatures(labelled, hashes).repartition(parts, "room")
+    ranks = stage(signed.groupBy("room").applyInPandas(room, "room string, segment long, rank long"), "ranks")
     return labelled.join(ranks, ["room", "segment"]).select("room", "sg", F.col("rank").alias("ordering"))
 
 

@@ -25,18 +25,23 @@ def closure(history: History, most_doublings: int = 40, starts: DataFrame | None
     With ``starts`` (room, sg) only the ancestors of these groups are gathered.
 
     Pointer doubling: after k rounds all ancestors nearer than 2^k are known, so the number of joins is the logarithm of
-    the depth.  Every round is written.  A cycle never stops adding ancestors at new depths and raises ValueError once
+    the depth.  Every round is written; if no group has several parents, what a round adds is new and only that is written.
+    A cycle never stops adding ancestors at new depths and raises ValueError once
     depths pass the number of groups.  A group with several parents keeps each ancestor at its least depth.
     """
-    known = (history.groups if starts is None else starts).select("room", "sg", F.col("sg").alias("anc"), F.lit(0).cast("long").alias("depth"))
+    known = (history.groups if starts is None else starts).select("room", "sg").distinct().select("room", "sg", F.col("sg").alias("anc"), F.lit(0).cast("long").alias("depth"))
     jump = history.edges.select("room", F.col("sg").alias("anc"), F.col("prev").alias("far"))
     known, jump, step = stage(known, "closure"), stage(jump, "jump"), 1
     groups = None
     for _ in range(most_doublings):
         more = known.join(jump, ["room", "anc"]).select("room", "sg", F.col("far").alias("anc"), (F.col("depth") + step).alias("depth"))
-        known = stage(known.unionByName(more).groupBy("room", "sg", "anc").agg(F.min("depth").alias("depth")), "closure")
+        if history.forest:
+            known = known.unionByName(stage(more, "closure"))
+        else:
+            known = stage(known.unionByName(more).groupBy("room", "sg", "anc").agg(F.min("depth").alias("depth")), "closure")
         then = jump.select("room", F.col("anc").alias("far"), F.col("far").alias("next"))
-        jump = stage(jump.join(then, ["room", "far"]).select("room", "anc", F.col("next").alias("far")).distinct(), "jump")
+        jump = jump.join(then, ["room", "far"]).select("room", "anc", F.col("next").alias("far"))
+        jump = stage(jump if history.forest else jump.distinct(), "jump")
         if jump.isEmpty():
             return known
         step *= 2
@@ -53,7 +58,8 @@ def full_state(history: History, ancestors: DataFrame) -> DataFrame:
     """
     deltas = history.deltas.select("room", F.col("sg").alias("anc"), "type", "state_key", "event")
     rows = ancestors.join(deltas, ["room", "anc"])
-    best = F.max_by("event", F.struct(-F.col("depth"), F.col("anc")))
+    nearer = -F.col("depth")  # a number keeps the aggregate hashed; ties need several parents
+    best = F.max_by("event", nearer if history.forest else F.struct(nearer, F.col("anc")))
     return rows.groupBy("room", "sg", "type", "state_key").agg(best.alias("event"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.signatures import jaccard, set_distance, shared_bands, tiered_distance
+from ..functions.signatures import placed, set_distance, shared_bands, tiered_distance
 from ..schemas import PARAMS
 from ..session import stage
 
@@ -24,15 +24,16 @@ def _best(probes: DataFrame, hashes: DataFrame, column: str, past: bool, min_sha
 
     Probes are two a section; they meet candidates by an equi-join on single values, not by comparing all groups.
     """
-    p = probes.select("room", F.col("sg").alias("probe"), F.col("minhash").alias("p_minhash"), F.col(column).alias("p_values"))
+    p = probes.select("room", F.col("sg").alias("probe"), F.size("minhash").alias("n"), placed(F.col("minhash")).alias("p_placed"), F.col(column).alias("p_values"))
     keyed = p.select("room", "probe", F.explode(F.array_distinct("p_values")).alias("value"))
     values = hashes.select("room", "sg", F.explode(F.array_distinct(column)).alias("value"))
     side = F.col("sg") < F.col("probe") if past else F.col("sg") > F.col("probe")
     pairs = keyed.join(values, ["room", "value"]).where(side).select("room", "probe", "sg").distinct()
-    full = pairs.join(p, ["room", "probe"]).join(hashes.select("room", "sg", "minhash", column), ["room", "sg"])
+    found = hashes.select("room", "sg", placed(F.col("minhash")).alias("placed"), F.col(column).alias("values"))
+    full = pairs.join(found, ["room", "sg"]).join(p, ["room", "probe"])  # the probes, fewer, come last, so pairs are dealt as bare ids
     if min_shared > 1:
-        full = full.where(shared_bands(F.col(column), F.col("p_values")) >= min_shared)
-    full = full.withColumn("similarity", jaccard(F.col("minhash"), F.col("p_minhash")))
+        full = full.where(shared_bands(F.col("values"), F.col("p_values")) >= min_shared)
+    full = full.select("room", "probe", "sg", (F.size(F.array_intersect("placed", "p_placed")) / F.col("n")).alias("similarity"))
     rank = F.struct("similarity", F.col("sg") if past else -F.col("sg"))
     return full.groupBy("room", "probe").agg(F.max_by("sg", rank).alias("match"), F.max("similarity").alias("similarity"))
 
@@ -43,8 +44,10 @@ def branch_points(probes: DataFrame, hashes: DataFrame, past: bool, min_shared:
     if not fallback:
         return found
     found = stage(found, "branch-points")
-    missed = probes.join(found.select("room", F.col("probe").alias("sg")), ["room", "sg"], "left_anti")
-    return found.unionByName(_best(missed, hashes, "minhash", past, 1))
+    missed = stage(probes.join(found.select("room", F.col("probe").alias("sg")), ["room", "sg"], "left_anti"), "missed")
+    reach = missed.groupBy("room").agg((F.max if past else F.min)("sg").alias("reach"))  # groups beyond it fit no missed probe
+    fits = F.col("sg") < F.col("reach") if past else F.col("sg") > F.col("reach")
+    return found.unionByName(_best(missed, hashes.join(reach, "room").where(fits).drop("reach"), "minhash", past, 1))
 
 
 def probes_of(parts: DataFrame, hashes: DataFrame, past: bool) -> DataFrame:
@@ -72,15 +75,23 @@ def segment_ends(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("room", "segment").agg(F.min("sg").alias("start_sg"), F.max("sg").alias("end_sg"))
 
 
+def segment_signatures(labelled: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(room, segment, end_minhash, end_bands, start_minhash, start_bands): what the distances of a room's segments follow from."""
+    ends = segment_ends(labelled)
+    for at in ("end", "start"):
+        sig = hashes.select("room", F.col("sg").alias(f"{at}_sg"), F.col("minhash").alias(f"{at}_minhash"), F.col("lsh_bands").alias(f"{at}_bands"))
+        ends = ends.join(sig, ["room", f"{at}_sg"])
+    return ends.drop("start_sg", "end_sg")
+
+
 def segment_distance(labelled: DataFrame, hashes: DataFrame) -> DataFrame:
     """(room, i, j, distance): from the end of segment i to the start of segment j; 0 from a segment to itself.
 
-    Per room a stated matrix of segments; the solvers read it whole.
+    Per room a stated matrix of segments, for export; the solvers take the signatures and make it themselves.
     """
-    ends = segment_ends(labelled)
-    sig = hashes.select("room", "sg", "minhash", "lsh_bands")
-    one = ends.join(sig.withColumnRenamed("sg", "end_sg"), ["room", "end_sg"]).select("room", F.col("segment").alias("i"), F.col("minhash").alias("m1"), F.col("lsh_bands").alias("b1"))
-    two = ends.join(sig.withColumnRenamed("sg", "start_sg"), ["room", "start_sg"]).select("room", F.col("segment").alias("j"), F.col("minhash").alias("m2"), F.col("lsh_bands").alias("b2"))
+    sig = segment_signatures(labelled, hashes)
+    one = sig.select("room", F.col("segment").alias("i"), F.col("end_minhash").alias("m1"), F.col("end_bands").alias("b1"))
+    two = sig.select("room", F.col("segment").alias("j"), F.col("start_minhash").alias("m2"), F.col("start_bands").alias("b2"))
     d = tiered_distance(F.col("b1"), F.col("b2"), F.col("m1"), F.col("m2"))
     return one.join(two, "room").select("room", "i", "j", F.when(F.col("i") == F.col("j"), 0).otherwise(d).cast("long").alias("distance"))
 

@@ -90,7 +90,3 @@ class Lake:
     @cached_property
     def segments(self) -> DataFrame:
         return stage(segments.segments(self.hashes, self.sections, self.past, self.future), "segments")
-
-    @cached_property
-    def distances(self) -> DataFrame:
-        return stage(segments.segment_distance(self.segments, self.hashes), "distances")

@@ -119,7 +119,7 @@ def asof_tables(t: Lake) -> DataFrame:
 @query
 def asof_reordered(t: Lake) -> DataFrame:
     """The states of groups from a table encoded in travelling order and written by room and start; groups by their index."""
-    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.distances, "tsp")), "reordered-index")
+    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.hashes, "tsp")), "reordered-index")
     runs = intervals.with_events(intervals.with_groups(intervals.encode(t.state, index), index), t.history.deltas)
     path = f"{shared_dir(t.spark)}/reordered-{uuid.uuid4().hex[:12]}"
     files.write_table(runs, path)
@@ -132,7 +132,7 @@ def asof_reordered(t: Lake) -> DataFrame:
 @query
 def reordered_intervals(t: Lake) -> DataFrame:
     """The state table in greedy order: runs with indexes and groups."""
-    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.distances, "greedy")), "greedy-index")
+    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.hashes, "greedy")), "greedy-index")
     return intervals.with_groups(intervals.encode(t.state, index), index)
 
 
@@ -308,7 +308,7 @@ def conversation_state(t: Lake) -> DataFrame:
 
 def _ordered(solver: str):
     def run(t: Lake) -> DataFrame:
-        return ordering.by_segments(t.segments, t.distances, solver, COLONY)
+        return ordering.by_segments(t.segments, t.hashes, solver, COLONY)
 
     run.__name__ = f"order_{solver}"
     return query(run)
@@ -348,7 +348,7 @@ def order_comparison(t: Lake) -> DataFrame:
         "hilbert": order_hilbert(t),
     }
     for solver in ("greedy", "mst", "dfs", "msa", "tsp", "aco"):
-        orders[solver] = ordering.by_segments(t.segments, t.distances, solver, COLONY)
+        orders[solver] = ordering.by_segments(t.segments, t.hashes, solver, COLONY)
     out = None
     for name, order in orders.items():
         rows = intervals.encode(t.state, intervals.dense_index(order)).agg(F.count(F.lit(1)).alias("intervals")).withColumn("ordering", F.lit(name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ class History:
     edges: DataFrame
     deltas: DataFrame
 
+    @cached_property
+    def forest(self) -> bool:
+        """Whether no group has several parents, so that ancestors have one depth each."""
+        return self.edges.groupBy("room", "sg").count().where("count > 1").isEmpty()
+
 
 def from_events(events: DataFrame) -> History:
     """Ten users share a room; every 97th row of a room is a full snapshot, every 31st forks off 20 rows back.

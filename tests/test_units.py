@@ -198,3 +198,50 @@ def test_streaming_append(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r)[1:] for r in spark.table("runs_out").collect()} == {(1, 0, 2), (2, 1, 4)}
+
+
+def test_least_hashes_are_those_of_a_plain_loop():
+    from stratalog.functions.signatures import PRIME, least_hashes, permutations
+
+    a, b = permutations(16)
+    sets = [[0, 5, PRIME - 1], [], [PRIME - 1], [3] * 4, []]
+    found = least_hashes(np.array([x for s in sets for x in s], dtype=np.int64), np.array([len(s) for s in sets]), a, b)
+    assert found.tolist() == [[min((x * h + y) % PRIME for h in s) if s else -1 for x, y in zip(a, b)] for s in sets]
+
+
+def test_matrix_of_a_room_is_that_of_the_pairs(spark):
+    from stratalog.operators import ordering, segments
+
+    rng = np.random.default_rng(3)
+    rows = [("a", i, rng.integers(0, 9, 128).tolist(), rng.integers(0, 30, 16).tolist()) for i in range(12)]
+    rows += [("a", 12, list(range(100, 228)), list(range(100, 116)))]
+    hashes = spark.createDataFrame(rows, "room string, sg long, minhash array<int>, lsh_bands array<long>")
+    labelled = spark.createDataFrame([("a", i, i // 2) for i in range(13)], "room string, sg long, segment long")
+    d = ordering.distance_matrix(segments.segment_signatures(labelled, hashes).toPandas().sort_values("segment", ignore_index=True))
+    pairs = segments.segment_distance(labelled, hashes).collect()
+    assert len(pairs) == d.size and all(d[r["i"], r["j"]] == r["distance"] for r in pairs)
+
+
+def test_closure_of_a_forest_and_of_several_parents(spark):
+    from stratalog.operators import resolve
+    from stratalog.sources.histories import History
+
+    groups = spark.createDataFrame([("a", i) for i in range(9)], "room string, sg long")
+    deltas = spark.createDataFrame([("a", i, "t", str(i % 3), i) for i in range(9)], "room string, sg long, type string, state_key string, event long")
+    for edges in ([(i, i - 1) for i in range(1, 9)], [(1, 0), (2, 0), (3, 1), (3, 2), (4, 3), (4, 0), (7, 4)]):
+        h = History(groups, spark.createDataFrame([("a", *e) for e in edges], "room string, sg long, prev long"), deltas)
+        depth = {}
+        for sg in range(9):
+            level, d = {sg}, 0
+            while level:
+                for x in level:
+                    depth.setdefault((sg, x), d)
+                level, d = {p for c, p in edges if c in level}, d + 1
+        found = resolve.closure(h)
+        assert sorted((r["sg"], r["anc"], r["depth"]) for r in found.collect()) == sorted((*k, v) for k, v in depth.items())
+        best = {}
+        for (sg, anc), d in depth.items():
+            best[sg, str(anc % 3)] = max(best.get((sg, str(anc % 3)), (-99, -99)), (-d, anc))
+        state = {(r["sg"], r["state_key"]): r["event"] for r in resolve.full_state(h, found).collect()}
+        assert state == {k: anc for k, (_, anc) in best.items()}
+        assert h.forest == (len({c for c, _ in edges}) == len(edges))
