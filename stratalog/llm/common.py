@@ -66,6 +66,23 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of the Arrow batches in which texts go to Python workers; Spark's default is 64 MB, which JVM and worker hold several times.
+BATCH_BYTES = 2 << 20
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, for mapInArrow over whole texts: from now on the session's Arrow batches end at BATCH_BYTES, if not before.
+
+    A batch takes at least one row, however long, so no text is cut.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = docs.sparkSession.conf
+    now = conf.get(key)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def trimmed(task, *caches):
     """A task for mapInArrow that empties ``caches`` and gives freed memory back when it ends; Python workers live on."""
 

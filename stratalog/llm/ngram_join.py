@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, Scratch, free_name, trimmed, without
+from .common import MOST_BROADCAST, Scratch, free_name, in_batches, trimmed, without
 from .components import components
 from .shingles import digest, mixed, packed, sets_of, sketch, unlike, unpacked
 
@@ -79,7 +79,7 @@ def survey(docs: DataFrame) -> DataFrame:
             columns = [none[0], none[1], pa.array(np.maximum(counts[cell], UNIT).astype(np.int32)), none[2], pa.array(cell.astype(np.int32)), none[3]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "gid", "n", "sketch", "cell", "mark"])
 
-    return docs.mapInArrow(trimmed(task), "doc_id long, gid long, n int, sketch binary, cell int, mark binary")
+    return in_batches(docs).mapInArrow(trimmed(task), "doc_id long, gid long, n int, sketch binary, cell int, mark binary")
 
 
 def count_levels(counted: DataFrame) -> np.ndarray:
@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, fits, owners)], names=names)
 
-    return docs.select("text").mapInArrow(trimmed(task), "token long, fit long, owner long")
+    return in_batches(docs).select("text").mapInArrow(trimmed(task), "token long, fit long, owner long")
 
 
 def filtered_groups(entries: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, many: bool) -> DataFrame:
                 gid, n, raw = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["gid", "n", "hashes"])
 
-    return texts.mapInArrow(trimmed(task), "gid long, n int, hashes binary")
+    return in_batches(texts).mapInArrow(trimmed(task), "gid long, n int, hashes binary")
 
 
 def with_sides(pairs: DataFrame, rows: int, table: DataFrame, column: str) -> DataFrame:

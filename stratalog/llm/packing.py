@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trimmed
+from .common import in_batches, trimmed
 from .secrets import encoding
 
 END_ID = 1
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = 0.03, least:
         for rows in packer.finish():
             yield as_batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(worker), PIECE)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(worker), PIECE)
 
 
 ARROW = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for f in PIECE.fields])

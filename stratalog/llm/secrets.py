@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 # runs are maximal, so asking for the length at once finds the same spans as dropping short runs afterwards
@@ -129,7 +131,7 @@ def find_secrets(docs: DataFrame, ratio: float = 2.0, vocabulary: str | None = N
                 rows["spans"].append(listed(spans))
             yield pa.RecordBatch.from_pydict(rows, schema=ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{kind}", pa.int64()) for kind in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -152,4 +154,4 @@ def redact(docs: DataFrame, ratio: float = 2.0) -> DataFrame:
             at = fields.index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return in_batches(docs).mapInArrow(batches, docs.schema)

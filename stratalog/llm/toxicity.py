@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, trimmed
+from .common import in_batches, text_of, trimmed
 from .shingles import span_hashes, text_bytes, word_spans
 
 SPACE_BITS = 18
@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, seed: int =
     # at most 2 * per_class rows, so the broadcast is bounded
     texts = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     joined = texts.join(F.broadcast(sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    rows = joined.select("doc_id", "toxic", "text").mapInArrow(trimmed(task), "doc_id long, toxic int, terms binary").collect()
+    rows = in_batches(joined).select("doc_id", "toxic", "text").mapInArrow(trimmed(task), "doc_id long, toxic int, terms binary").collect()
     rows = sorted({(r["doc_id"], r["toxic"], bytes(r["terms"])) for r in rows})
     y = np.array([r[1] for r in rows], dtype=np.int64)
     if len(rows) == 0 or y.min() == y.max():
@@ -302,7 +302,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.3
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.scores(batch.column(1)))], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(task), "doc_id long, score double")
+    out = in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(task), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -314,4 +314,4 @@ def keep_clean(docs: DataFrame, machine: FactorizationMachine, threshold: float
         for batch in batches:
             yield batch.filter(pa.array(machine.scores(batch.column(at).cast(pa.string())) < threshold))
 
-    return docs.mapInArrow(trimmed(task), docs.schema)
+    return in_batches(docs).mapInArrow(trimmed(task), docs.schema)

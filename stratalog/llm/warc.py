@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, Scratch
+from .common import MOST_BROADCAST, Scratch, in_batches
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = 100  # payloads of fewer bytes are never revisits
@@ -83,7 +83,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     count += 1
         yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "records": [count]})
 
-    return records.select(*WRITTEN).mapInArrow(task, "file string, records long")
+    return in_batches(records).select(*WRITTEN).mapInArrow(task, "file string, records long")
 
 
 def parse(stream):

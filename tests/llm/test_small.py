@@ -6,10 +6,12 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import exact_dedup, license_scan, mixing, ngram_join, packing, secrets, sharding, topk, toxicity, warc
+from stratalog.llm.common import BATCH_BYTES, in_batches
 from stratalog.llm.oracle import ORACLE_SQL
 from stratalog.llm.queries import QUERIES
 
@@ -509,6 +511,17 @@ def test_redact(spark):
     assert {r["doc_id"]: r["text"] for r in rows(secrets.redact(table))} == {1: "[assign] is [random] here", 2: None, 3: "clean"}
 
 
+def test_texts_travel_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes], "longest": [max(len(t.as_py()) for t in b.column(0))]})
+
+    table = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("word "), F.when(F.col("id") == 7, 2_000_000).otherwise(400)).alias("text"))
+    got = rows(in_batches(table).mapInArrow(sizes, "rows long, bytes long, longest long"))
+    assert sum(r["rows"] for r in got) == 5000 and max(r["longest"] for r in got) == 10_000_000
+    assert all(r["bytes"] < 2 * BATCH_BYTES for r in got if r["longest"] < 10_000)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
