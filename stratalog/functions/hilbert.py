@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,38 @@ def hilbert_index(point: list[int], bits: int) -> int:
     return key
 
 
+def hilbert_indexes(points: np.ndarray, bits: int) -> np.ndarray:
+    """The upper 63 bits of ``hilbert_index`` of each row of ``points``, all rows together."""
+    x, n = [c.copy() for c in points.astype(np.int64).T], points.shape[1]
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        mask = q - 1
+        for i in range(n):
+            up = (x[i] & q) != 0
+            t = np.where(up, 0, (x[0] ^ x[i]) & mask)
+            x[0] ^= np.where(up, mask, t)
+            x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = np.zeros(len(points), dtype=np.int64)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        t ^= np.where((x[n - 1] & q) != 0, q - 1, 0)
+    key, left = np.zeros(len(points), dtype=np.int64), min(63, n * bits)
+    for bit in range(bits - 1, -1, -1):
+        for v in x:
+            if left:
+                key, left = key << 1 | ((v ^ t) >> bit & 1), left - 1
+    return key
+
+
+def _points(rows: pd.Series) -> np.ndarray | None:
+    """Rows as a matrix; None if they differ in length or hold nulls."""
+    try:
+        found = np.stack([np.asarray(row) for row in rows])
+    except (TypeError, ValueError):
+        return None
+    return found.astype(np.int64) if found.dtype.kind == "i" else None
+
+
 def hilbert_key(values: Column, bits: int = 8) -> Column:
     """The upper 63 bits of the key of an array of numbers, each taken modulo 2^bits."""
 
@@ -45,7 +78,8 @@ def hilbert_key(values: Column, bits: int = 8) -> Column:
             full = len(row) * bits
             return hilbert_index([int(v) % (1 << bits) for v in row], bits) >> max(0, full - 63)
 
-        return rows.map(one)
+        points = _points(rows)
+        return rows.map(one) if points is None else pd.Series(hilbert_indexes(points % (1 << bits), bits))
 
     return key(values)
 
@@ -60,6 +94,10 @@ def folded_key(minhash: Column, dims: int = 8, bits: int = 8) -> Column:
             sums = [sum(int(v) for v in row[i * run : (i + 1) * run]) % (1 << bits) for i in range(dims)]
             return hilbert_index(sums, bits) >> max(0, dims * bits - 63)
 
-        return rows.map(one)
+        points = _points(rows)
+        if points is None:
+            return rows.map(one)
+        run = points.shape[1] // dims
+        return pd.Series(hilbert_indexes(points[:, : run * dims].reshape(len(points), dims, run).sum(2) % (1 << bits), bits))
 
     return key(minhash)

@@ -27,7 +27,16 @@ def dag_gaps(intervals: DataFrame, edges: DataFrame) -> DataFrame:
 
 def compression(deltas: DataFrame, members: DataFrame, intervals: DataFrame) -> DataFrame:
     """(room, delta_rows, member_rows, events, intervals): rows in, rows expanded, the lower bound, rows out."""
-    count = lambda df, name: df.groupBy("room").agg(F.count(F.lit(1)).alias(name))
-    out = count(deltas, "delta_rows").join(count(members, "member_rows"), "room")
-    runs = intervals.groupBy("room").agg(F.count_distinct("event").alias("events"), F.count(F.lit(1)).alias("intervals"))
+    return summary(deltas, _count(members, "member_rows"), intervals)
+
+
+def summary(deltas: DataFrame, sizes: DataFrame, intervals: DataFrame) -> DataFrame:
+    """As ``compression`` from ``sizes`` (room, member_rows), so that rows expanded need not exist."""
+    out = _count(deltas, "delta_rows").join(sizes, "room")
+    runs = intervals.groupBy("room", "event").agg(F.count(F.lit(1)).alias("runs"))
+    runs = runs.groupBy("room").agg(F.count("event").alias("events"), F.sum("runs").alias("intervals"))
     return out.join(runs, "room").withColumn("ratio", F.col("intervals") / F.col("delta_rows"))
+
+
+def _count(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy("room").agg(F.count(F.lit(1)).alias(name))

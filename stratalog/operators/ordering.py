@@ -14,26 +14,35 @@ from ..functions.hilbert import folded_key, hilbert_key
 from ..schemas import PARAMS
 from ..session import stage
 from ..sources.histories import History
-from . import segments, solvers
+from . import solvers
 
 SCHEMA = "room string, sg long, ordering long"
 
 
-def common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+def _owned(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (value, owner), rising."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))[: len(values)]
+    return values[new], owner[new]
+
+
+def common(rows: list[np.ndarray], columns: list[np.ndarray], most_pairs: int = 1 << 20) -> np.ndarray:
     """How many distinct values each of ``rows`` shares with each of ``columns``; values that occur on one side only cost nothing."""
-    out = np.zeros((len(rows), len(columns)), dtype=np.int16)
-    places = []
-    for side in (rows, columns):
-        sets = [np.unique(x) for x in side]
-        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        order = np.argsort(values, kind="stable")
-        found, starts = np.unique(values[order], return_index=True)
-        places.append((found, np.split(owner[order], starts[1:])))
-    (left, left_owners), (right, right_owners) = places
-    _, at, to = np.intersect1d(left, right, assume_unique=True, return_indices=True)
-    for x, y in zip(at, to):
-        out[np.ix_(left_owners[x], right_owners[y])] += 1
-    return out
+    n, m = len(rows), len(columns)
+    (left, mine), (right, theirs) = _owned(rows), _owned(columns)
+    low = np.searchsorted(right, left, "left")
+    count = np.searchsorted(right, left, "right") - low
+    out, total, begin = np.zeros(n * m, dtype=np.int16), np.cumsum(count), 0
+    while begin < len(left):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + max(most_pairs, n * m), "right")))
+        c = count[begin:end]
+        at = np.repeat(low[begin:end] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        out += np.bincount(np.repeat(mine[begin:end], c) * m + theirs[at], minlength=n * m).astype(np.int16)
+        begin = end
+    return out.reshape(n, m)
 
 
 def distance_matrix(rows: pd.DataFrame, n: int = PARAMS.permutations, bands: int = PARAMS.bands) -> np.ndarray:
@@ -44,11 +53,27 @@ def distance_matrix(rows: pd.DataFrame, n: int = PARAMS.permutations, bands: int
     return d
 
 
-def by_segments(labelled: DataFrame, hashes: DataFrame, solver: str, colony: solvers.Colony = solvers.Colony()) -> DataFrame:
+def dealt(signed: DataFrame) -> DataFrame:
+    """Rooms over all cores: they are few bytes and much work, so their number of partitions is not coalesced by size."""
+    spark = signed.sparkSession
+    return signed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "room")
+
+
+def room_distances(signed: DataFrame) -> DataFrame:
+    """``segments.segment_distance`` from ``segment_signatures``, a room's matrix at once."""
+
+    def room(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("segment", ignore_index=True)
+        d, names = distance_matrix(rows), rows["segment"].to_numpy()
+        return pd.DataFrame({"room": rows["room"].iloc[0], "i": np.repeat(names, len(names)), "j": np.tile(names, len(names)), "distance": d.ravel()})
+
+    return dealt(signed).groupBy("room").applyInPandas(room, "room string, i long, j long, distance long")
+
+
+def by_segments(labelled: DataFrame, signed: DataFrame, solver: str, colony: solvers.Colony = solvers.Colony()) -> DataFrame:
     """Solves each room's segment matrix and lays out the groups by segment rank; raises if a segment is lost.
 
-    A room's segments travel as two signatures each and become a matrix in its task.  Rooms are few bytes and much work, so
-    they are dealt over all cores by a fixed number of partitions, which is not coalesced by size.
+    A room's segments travel as two signatures each (``signed``, of ``segment_signatures``) and become a matrix in its task.
     """
     solve = {
         "greedy": solvers.greedy,
@@ -65,10 +90,7 @@ def by_segments(labelled: DataFrame, hashes: DataFrame, solver: str, colony: sol
         path = solvers.check_permutation(solve(distance_matrix(rows)), n)
         return pd.DataFrame({"room": rows["room"].iloc[0], "segment": rows["segment"].to_numpy()[path], "rank": range(n)})
 
-    spark = labelled.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    signed = segments.segment_signatures(labelled, hashes).repartition(parts, "room")
-    ranks = stage(signed.groupBy("room").applyInPandas(room, "room string, segment long, rank long"), "ranks")
+    ranks = stage(dealt(signed).groupBy("room").applyInPandas(room, "room string, segment long, rank long"), "ranks")
     return labelled.join(ranks, ["room", "segment"]).select("room", "sg", F.col("rank").alias("ordering"))
 
 

@@ -85,10 +85,13 @@ def asof_index(t: Lake) -> DataFrame:
     return intervals.as_of(t.runs, _points(t))
 
 
+def _group_points(t: Lake) -> DataFrame:
+    return _points(t).join(t.index.select("room", F.col("idx").alias("point"), "sg"), ["room", "point"]).select("room", F.col("sg").alias("point"))
+
+
 def _by_group(t: Lake) -> tuple[DataFrame, DataFrame]:
     runs = intervals.with_groups(t.runs, t.index).select("room", "event", F.col("start_sg_id").alias("start_index"), F.col("end_sg_id").alias("end_index"))
-    points = _points(t).join(t.index.select("room", F.col("idx").alias("point"), "sg"), ["room", "point"]).select("room", F.col("sg").alias("point"))
-    return runs, points
+    return runs, _group_points(t)
 
 
 @query
@@ -103,7 +106,7 @@ def asof_state_union(t: Lake) -> DataFrame:
 
 @query
 def asof_recursive(t: Lake) -> DataFrame:
-    points = _by_group(t)[1].withColumnRenamed("point", "sg")
+    points = _group_points(t).withColumnRenamed("point", "sg")
     return resolve.full_state_by_id(t.history, resolve.closure(t.history, starts=points)).select("room", F.col("sg").alias("point"), "event")
 
 
@@ -111,7 +114,7 @@ def asof_recursive(t: Lake) -> DataFrame:
 def asof_tables(t: Lake) -> DataFrame:
     """The same from the three input tables, by the nearest ancestor."""
     h = histories.from_tables(*histories.to_tables(t.history))
-    points = _by_group(t)[1].withColumnRenamed("point", "sg")
+    points = _group_points(t).withColumnRenamed("point", "sg")
     found = resolve.full_state(h, resolve.closure(h, starts=points))
     return found.select("room", F.col("sg").alias("point"), F.col("event").cast("long").alias("event"))
 
@@ -119,12 +122,12 @@ def asof_tables(t: Lake) -> DataFrame:
 @query
 def asof_reordered(t: Lake) -> DataFrame:
     """The states of groups from a table encoded in travelling order and written by room and start; groups by their index."""
-    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.hashes, "tsp")), "reordered-index")
-    runs = intervals.with_events(intervals.with_groups(intervals.encode(t.state, index), index), t.history.deltas)
+    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.ends_signed, "tsp")), "reordered-index")
+    runs = intervals.with_events(intervals.with_groups(t.encoded(index), index), t.history.deltas)
     path = f"{shared_dir(t.spark)}/reordered-{uuid.uuid4().hex[:12]}"
     files.write_table(runs, path)
     table = t.spark.read.schema(runs.schema).parquet(path)
-    points = index.join(_by_group(t)[1].withColumnRenamed("point", "sg"), ["room", "sg"]).select("room", "sg", F.col("idx").alias("point"))
+    points = index.join(_group_points(t).withColumnRenamed("point", "sg"), ["room", "sg"]).select("room", "sg", F.col("idx").alias("point"))
     found = intervals.as_of(table, points)
     return found.join(points, ["room", "point"]).select("room", F.col("sg").alias("point"), "event")
 
@@ -132,8 +135,8 @@ def asof_reordered(t: Lake) -> DataFrame:
 @query
 def reordered_intervals(t: Lake) -> DataFrame:
     """The state table in greedy order: runs with indexes and groups."""
-    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.hashes, "greedy")), "greedy-index")
-    return intervals.with_groups(intervals.encode(t.state, index), index)
+    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.ends_signed, "greedy")), "greedy-index")
+    return intervals.with_groups(t.encoded(index), index)
 
 
 @query
@@ -222,17 +225,17 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def branch_points_past(t: Lake) -> DataFrame:
-    return _rounded(segments.branch_points(segments.probes_of(t.sections, t.hashes, True), t.hashes, True, fallback=False))
+    return _rounded(t.matches(t.ends.where("past"), fallback=False).drop("past"))
 
 
 @query
 def branch_points_future(t: Lake) -> DataFrame:
-    return _rounded(segments.branch_points(segments.probes_of(t.sections, t.hashes, False), t.hashes, False, fallback=False))
+    return _rounded(t.matches(t.ends.where("not past"), fallback=False).drop("past"))
 
 
 @query
 def branch_points_fallback(t: Lake) -> DataFrame:
-    return _rounded(segments.branch_points(segments.probes_of(t.sections, t.hashes, True), t.hashes, True))
+    return _rounded(t.past)
 
 
 @query
@@ -242,7 +245,7 @@ def segment_labels(t: Lake) -> DataFrame:
 
 @query
 def segment_distance(t: Lake) -> DataFrame:
-    return segments.segment_distance(t.segments, t.hashes)
+    return ordering.room_distances(t.ends_signed)
 
 
 @query
@@ -252,12 +255,12 @@ def band_distance(t: Lake) -> DataFrame:
 
 @query
 def branch_detection(t: Lake) -> DataFrame:
-    return segments.branches(t.hashes)
+    return t.branches
 
 
 @query
 def branch_fill(t: Lake) -> DataFrame:
-    return segments.branch_fill(t.hashes, segments.branches(t.hashes))
+    return segments.branch_fill(t.hashes, t.branches)
 
 
 @query
@@ -288,7 +291,7 @@ def dag_gaps(t: Lake) -> DataFrame:
 
 @query
 def compression_summary(t: Lake) -> DataFrame:
-    found = diagnostics.compression(t.history.deltas, t.state, t.runs)
+    found = diagnostics.summary(t.history.deltas, t.sizes, t.runs)
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -308,7 +311,7 @@ def conversation_state(t: Lake) -> DataFrame:
 
 def _ordered(solver: str):
     def run(t: Lake) -> DataFrame:
-        return ordering.by_segments(t.segments, t.hashes, solver, COLONY)
+        return ordering.by_segments(t.segments, t.ends_signed, solver, COLONY)
 
     run.__name__ = f"order_{solver}"
     return query(run)
@@ -320,7 +323,7 @@ for _solver in ("greedy", "mst", "dfs", "msa", "tsp", "aco"):
 
 @query
 def order_branches(t: Lake) -> DataFrame:
-    return ordering.by_branches(t.hashes, segments.branches(t.hashes))
+    return ordering.by_branches(t.hashes, t.branches)
 
 
 @query
@@ -348,10 +351,10 @@ def order_comparison(t: Lake) -> DataFrame:
         "hilbert": order_hilbert(t),
     }
     for solver in ("greedy", "mst", "dfs", "msa", "tsp", "aco"):
-        orders[solver] = ordering.by_segments(t.segments, t.hashes, solver, COLONY)
+        orders[solver] = ordering.by_segments(t.segments, t.ends_signed, solver, COLONY)
     out = None
     for name, order in orders.items():
-        rows = intervals.encode(t.state, intervals.dense_index(order)).agg(F.count(F.lit(1)).alias("intervals")).withColumn("ordering", F.lit(name))
+        rows = t.encoded(intervals.dense_index(order)).agg(F.count(F.lit(1)).alias("intervals")).withColumn("ordering", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out.select("ordering", "intervals")
 
