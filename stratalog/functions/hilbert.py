@@ -60,6 +60,12 @@ def hilbert_indexes(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def folded_indexes(minhash: np.ndarray, dims: int = 8, bits: int = 8) -> np.ndarray:
+    """The keys of ``folded_key``, a row a signature."""
+    run = minhash.shape[1] // dims
+    return hilbert_indexes(minhash[:, : run * dims].astype(np.int64).reshape(len(minhash), dims, run).sum(2) % (1 << bits), bits)
+
+
 def _points(rows: pd.Series) -> np.ndarray | None:
     """Rows as a matrix; None if they differ in length or hold nulls."""
     try:
@@ -95,9 +101,6 @@ def folded_key(minhash: Column, dims: int = 8, bits: int = 8) -> Column:
             return hilbert_index(sums, bits) >> max(0, dims * bits - 63)
 
         points = _points(rows)
-        if points is None:
-            return rows.map(one)
-        run = points.shape[1] // dims
-        return pd.Series(hilbert_indexes(points[:, : run * dims].reshape(len(points), dims, run).sum(2) % (1 << bits), bits))
+        return rows.map(one) if points is None else pd.Series(folded_indexes(points, dims, bits))
 
     return key(minhash)

@@ -5,6 +5,8 @@ Rooms are independent, so solvers run as one Arrow group a room.  A room's matri
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,8 +49,15 @@ def common(rows: list[np.ndarray], columns: list[np.ndarray], most_pairs: int =
 
 def distance_matrix(rows: pd.DataFrame, n: int = PARAMS.permutations, bands: int = PARAMS.bands) -> np.ndarray:
     """The matrix of ``segments.segment_distance`` from a room's ``segment_signatures``, in order of segments."""
-    k = common(rows["end_bands"].tolist(), rows["start_bands"].tolist())
-    d = np.where(k > 0, (bands - k) * (n // bands), n - common(rows["end_minhash"].tolist(), rows["start_minhash"].tolist())).astype(np.int64)
+    return distances(*(rows[x].tolist() for x in ("end_minhash", "end_bands", "start_minhash", "start_bands")), n, bands)
+
+
+def distances(end_minhash, end_bands, start_minhash, start_bands, n: int = PARAMS.permutations, bands: int = PARAMS.bands) -> np.ndarray:
+    """The matrix from the signatures of segments' ends and starts, one a row."""
+    if not len(end_bands):
+        return np.zeros((0, 0), dtype=np.int64)
+    k = common(end_bands, start_bands)
+    d = np.where(k > 0, (bands - k) * (n // bands), n - common(end_minhash, start_minhash)).astype(np.int64)
     np.fill_diagonal(d, 0)
     return d
 
@@ -70,19 +79,23 @@ def room_distances(signed: DataFrame) -> DataFrame:
     return dealt(signed).groupBy("room").applyInPandas(room, "room string, i long, j long, distance long")
 
 
-def by_segments(labelled: DataFrame, signed: DataFrame, solver: str, colony: solvers.Colony = solvers.Colony()) -> DataFrame:
-    """Solves each room's segment matrix and lays out the groups by segment rank; raises if a segment is lost.
-
-    A room's segments travel as two signatures each (``signed``, of ``segment_signatures``) and become a matrix in its task.
-    """
-    solve = {
+def solver_of(name: str, colony: solvers.Colony = solvers.Colony()) -> Callable[[np.ndarray], list[int]]:
+    return {
         "greedy": solvers.greedy,
         "mst": lambda d: solvers.tree_walk(d, solvers.minimum_spanning_tree(d)),
         "dfs": lambda d: solvers.tree_walk(d, solvers.minimum_spanning_tree(d), depth_first=True),
         "msa": solvers.arborescence_walk,
         "tsp": solvers.travelling,
         "aco": lambda d: solvers.ant_colony(d, colony)[0],
-    }[solver]
+    }[name]
+
+
+def by_segments(labelled: DataFrame, signed: DataFrame, solver: str, colony: solvers.Colony = solvers.Colony()) -> DataFrame:
+    """Solves each room's segment matrix and lays out the groups by segment rank; raises if a segment is lost.
+
+    A room's segments travel as two signatures each (``signed``, of ``segment_signatures``) and become a matrix in its task.
+    """
+    solve = solver_of(solver, colony)
 
     def room(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("segment", ignore_index=True)

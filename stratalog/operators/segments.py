@@ -12,11 +12,30 @@ from ..session import stage
 
 def sections(hashes: DataFrame, jump: int = PARAMS.jump) -> DataFrame:
     """(room, section, start_sg, end_sg): a section starts at a room's first group and after that at each jump."""
+    return section_ends(section_of(hashes, jump))
+
+
+def section_of(hashes: DataFrame, jump: int = PARAMS.jump) -> DataFrame:
+    """(room, sg, section)."""
     order = Window.partitionBy("room").orderBy("sg")
     first = F.row_number().over(order) == 1
     rows = hashes.withColumn("starts", (first | (F.col("add_count") + F.col("gone_count") > jump)).cast("int"))
-    rows = rows.withColumn("section", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return rows.groupBy("room", "section").agg(F.min("sg").alias("start_sg"), F.max("sg").alias("end_sg"))
+    return rows.select("room", "sg", (F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("section"))
+
+
+def section_ends(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("room", "section").agg(F.min("sg").alias("start_sg"), F.max("sg").alias("end_sg"))
+
+
+def labels(hashes: DataFrame) -> DataFrame:
+    """(room, sg, section, segment, past, past_similarity, future, future_similarity, branch): what ``sections``, ``branch_points``, ``segments`` and ``branches`` find, a row a group."""
+    part = stage(section_of(hashes), "section-of")
+    parts = section_ends(part)
+    past, future = (stage(branch_points(probes_of(parts, hashes, side), hashes, side), "branch-points") for side in (True, False))
+    out = part.join(segments(hashes, parts, past, future), ["room", "sg"])
+    for name, found in (("past", past), ("future", future)):
+        out = out.join(found.select("room", F.col("probe").alias("sg"), F.col("match").alias(name), F.col("similarity").alias(f"{name}_similarity")), ["room", "sg"], "left")
+    return out.join(branches(hashes).withColumnRenamed("start", "sg"), ["room", "sg"], "left").select("room", "sg", "section", "segment", "past", "past_similarity", "future", "future_similarity", "branch")
 
 
 def _best(probes: DataFrame, hashes: DataFrame, column: str, past: bool, min_shared: int) -> DataFrame:

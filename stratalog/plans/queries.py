@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..functions.signatures import hex8, jaccard, shared_bands
-from ..operators import diagnostics, intervals, ordering, resolve, segments, solvers
+from ..operators import diagnostics, intervals, ordering, resolve, rooms, segments, solvers
 from ..session import shared_dir, stage
 from ..sources import files, histories
 from .lake import Lake, lake
@@ -122,7 +122,7 @@ def asof_tables(t: Lake) -> DataFrame:
 @query
 def asof_reordered(t: Lake) -> DataFrame:
     """The states of groups from a table encoded in travelling order and written by room and start; groups by their index."""
-    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.ends_signed, "tsp")), "reordered-index")
+    index = stage(intervals.dense_index(t.ordered("tsp")), "reordered-index")
     runs = intervals.with_events(intervals.with_groups(t.encoded(index), index), t.history.deltas)
     path = f"{shared_dir(t.spark)}/reordered-{uuid.uuid4().hex[:12]}"
     files.write_table(runs, path)
@@ -135,7 +135,7 @@ def asof_reordered(t: Lake) -> DataFrame:
 @query
 def reordered_intervals(t: Lake) -> DataFrame:
     """The state table in greedy order: runs with indexes and groups."""
-    index = stage(intervals.dense_index(ordering.by_segments(t.segments, t.ends_signed, "greedy")), "greedy-index")
+    index = stage(intervals.dense_index(t.ordered("greedy")), "greedy-index")
     return intervals.with_groups(t.encoded(index), index)
 
 
@@ -216,7 +216,7 @@ def band_overlap_k(t: Lake) -> DataFrame:
 
 @query
 def sections(t: Lake) -> DataFrame:
-    return segments.sections(t.hashes)
+    return t.sections
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -240,17 +240,17 @@ def branch_points_fallback(t: Lake) -> DataFrame:
 
 @query
 def segment_labels(t: Lake) -> DataFrame:
-    return segments.segments(t.hashes, t.sections, t.past, t.future)
+    return t.segments
 
 
 @query
 def segment_distance(t: Lake) -> DataFrame:
-    return ordering.room_distances(t.ends_signed)
+    return t.by_signatures(rooms.room_distances, lambda hashes: ordering.room_distances(t.signed_segments(hashes)[1]))
 
 
 @query
 def band_distance(t: Lake) -> DataFrame:
-    return segments.neighbour_distance(t.hashes)
+    return t.by_signatures(rooms.neighbour_distance, segments.neighbour_distance)
 
 
 @query
@@ -260,12 +260,12 @@ def branch_detection(t: Lake) -> DataFrame:
 
 @query
 def branch_fill(t: Lake) -> DataFrame:
-    return segments.branch_fill(t.hashes, t.branches)
+    return segments.branch_fill(t.labels, t.branches)
 
 
 @query
 def range_assign(t: Lake) -> DataFrame:
-    return segments.range_assign(t.hashes.select("room", "sg"), segments.segment_ends(t.segments))
+    return segments.range_assign(t.labels.select("room", "sg"), segments.segment_ends(t.segments))
 
 
 @query
@@ -311,19 +311,20 @@ def conversation_state(t: Lake) -> DataFrame:
 
 def _ordered(solver: str):
     def run(t: Lake) -> DataFrame:
-        return ordering.by_segments(t.segments, t.ends_signed, solver, COLONY)
+        return t.ordered(solver, COLONY)
 
     run.__name__ = f"order_{solver}"
     return query(run)
 
 
-for _solver in ("greedy", "mst", "dfs", "msa", "tsp", "aco"):
+SOLVERS = ("greedy", "mst", "dfs", "msa", "tsp", "aco")
+for _solver in SOLVERS:
     _ordered(_solver)
 
 
 @query
 def order_branches(t: Lake) -> DataFrame:
-    return ordering.by_branches(t.hashes, t.branches)
+    return ordering.by_branches(t.labels, t.branches)
 
 
 @query
@@ -333,7 +334,7 @@ def order_hilbert(t: Lake) -> DataFrame:
 
 @query
 def order_hilbert_folded(t: Lake) -> DataFrame:
-    return ordering.by_hilbert(t.hashes, folded=True)
+    return t.by_signatures(rooms.by_hilbert_folded, lambda hashes: ordering.by_hilbert(hashes, folded=True))
 
 
 @query
@@ -344,19 +345,11 @@ def order_topological(t: Lake) -> DataFrame:
 @query
 def order_comparison(t: Lake) -> DataFrame:
     """Interval rows of all rooms under each ordering."""
-    orders = {
-        "chronological": t.hashes.select("room", "sg", F.col("sg").alias("ordering")),
-        "topological": order_topological(t),
-        "branches": order_branches(t),
-        "hilbert": order_hilbert(t),
-    }
-    for solver in ("greedy", "mst", "dfs", "msa", "tsp", "aco"):
-        orders[solver] = ordering.by_segments(t.segments, t.ends_signed, solver, COLONY)
-    out = None
-    for name, order in orders.items():
-        rows = t.encoded(intervals.dense_index(order)).agg(F.count(F.lit(1)).alias("intervals")).withColumn("ordering", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("ordering", "intervals")
+    counts = t.counted(SOLVERS, COLONY).select("ordering", "intervals")
+    topological = t.encoded(intervals.dense_index(order_topological(t))).agg(F.count(F.lit(1)).alias("intervals")).select(F.lit("topological").alias("ordering"), "intervals")
+    names = t.spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("chronological", "topological", "branches", "hilbert", *SOLVERS)))).alias("ordering"))
+    sums = counts.unionByName(topological).groupBy("ordering").agg(F.sum("intervals").alias("intervals"))
+    return names.join(sums, "ordering", "left").select("ordering", F.coalesce("intervals", F.lit(0).cast("long")).alias("intervals"))
 
 
 @query

@@ -99,3 +99,27 @@ def test_common_values_in_small_lots():
     rng = np.random.default_rng(0)
     a, b = ([rng.integers(0, 30, 12) for _ in range(n)] for n in (7, 9))
     assert ordering.common(a, b, most_pairs=1).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+@pytest.mark.parametrize("cells", [0, None])
+def test_orders_without_written_signatures_are_those_of_the_operators(spark, sf_dir, monkeypatch, cells):
+    """All rooms by the DataFrame operators, or none."""
+    if cells is not None:
+        monkeypatch.setattr(rooms, "MOST_CELLS", cells)
+    plain, t = queries.lake(spark, sf_dir), lakes.Lake(spark, sf_dir)
+    monkeypatch.setattr(queries, "lake", lambda *_: t)
+    for name in ("tsp", "msa"):
+        same(t.ordered(name), ordering.by_segments(plain.segments, plain.ends_signed, name))
+    for name, rows in {
+        "segment_distance": segments.segment_distance(plain.segments, plain.hashes),
+        "band_distance": segments.neighbour_distance(plain.hashes),
+        "order_hilbert_folded": ordering.by_hilbert(plain.hashes, folded=True),
+        "sections": segments.sections(plain.hashes),
+    }.items():
+        same(queries.QUERIES[name](spark, sf_dir), rows)
+    orders = {"chronological": plain.hashes.selectExpr("room", "sg", "sg as ordering"), "branches": ordering.by_branches(plain.hashes, plain.branches), "hilbert": ordering.by_hilbert(plain.hashes)}
+    orders |= {"mst": ordering.by_segments(plain.segments, plain.ends_signed, "mst")}
+    wanted = {name: intervals.encode(plain.state, intervals.dense_index(order)).count() for name, order in orders.items()}
+    found = t.counted(("mst",), queries.COLONY).groupBy("ordering").sum("intervals").collect()
+    assert {r[0]: r[1] for r in found} == wanted
+    assert not {"hashes", "ends_signed"} & vars(t).keys()
