@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..functions.signatures import hex8, jaccard, shared_bands
 from ..operators import diagnostics, intervals, ordering, resolve, rooms, segments, solvers
-from ..session import shared_dir, stage
-from ..sources import files, histories
+from ..session import stage
+from ..sources import histories
 from .lake import Lake, lake
 
 QUERIES = {}
 COLONY = solvers.Colony(ants=100, iterations=100)
+MOST_BROADCAST = 1 << 20
 
 
 def query(f):
@@ -104,10 +103,20 @@ def asof_state_union(t: Lake) -> DataFrame:
     return intervals.as_of_union(*_by_group(t))
 
 
+def _quarters(n: int) -> list[int]:
+    """The places of ``_points``."""
+    return sorted({n * k // 4 for k in (1, 2, 3)}) if n else []
+
+
 @query
 def asof_recursive(t: Lake) -> DataFrame:
-    points = _group_points(t).withColumnRenamed("point", "sg")
-    return resolve.full_state_by_id(t.history, resolve.closure(t.history, starts=points)).select("room", F.col("sg").alias("point"), "event")
+    """States of the points by the way up from each of them."""
+
+    def dealt(history: histories.History, index: DataFrame) -> DataFrame:
+        found = resolve.full_state_by_id(history, resolve.closure(history, starts=t.asked(index, _quarters)))
+        return found.select("room", F.col("sg").alias("point"), "event")
+
+    return t.by_room(lambda packed, _: rooms.states_at(packed, _quarters), dealt, packed=True)
 
 
 @query
@@ -122,21 +131,18 @@ def asof_tables(t: Lake) -> DataFrame:
 @query
 def asof_reordered(t: Lake) -> DataFrame:
     """The states of groups from a table encoded in travelling order and written by room and start; groups by their index."""
-    index = stage(intervals.dense_index(t.ordered("tsp")), "reordered-index")
-    runs = intervals.with_events(intervals.with_groups(t.encoded(index), index), t.history.deltas)
-    path = f"{shared_dir(t.spark)}/reordered-{uuid.uuid4().hex[:12]}"
-    files.write_table(runs, path)
-    table = t.spark.read.schema(runs.schema).parquet(path)
-    points = index.join(_group_points(t).withColumnRenamed("point", "sg"), ["room", "sg"]).select("room", "sg", F.col("idx").alias("point"))
-    found = intervals.as_of(table, points)
-    return found.join(points, ["room", "point"]).select("room", F.col("sg").alias("point"), "event")
+    table = stage(t.reordered("tsp", _quarters), "reordered")
+    points = table.where("idx is not null").select("room", "sg", F.col("idx").alias("point"))
+    points = F.broadcast(points) if points.count() <= MOST_BROADCAST else points
+    runs = table.where("idx is null").select("room", "event", "start_index", "end_index").join(points, "room")
+    covers = (F.col("start_index") <= F.col("point")) & (F.col("end_index").isNull() | (F.col("end_index") > F.col("point")))
+    return runs.where(covers).select("room", F.col("sg").alias("point"), "event")
 
 
 @query
 def reordered_intervals(t: Lake) -> DataFrame:
     """The state table in greedy order: runs with indexes and groups."""
-    index = stage(intervals.dense_index(t.ordered("greedy")), "greedy-index")
-    return intervals.with_groups(t.encoded(index), index)
+    return t.reordered("greedy").select("room", "event", "start_index", "end_index", "start_sg_id", "end_sg_id")
 
 
 @query
@@ -149,8 +155,12 @@ def index_non_empty(t: Lake) -> DataFrame:
 @query
 def ordered_lookup(t: Lake) -> DataFrame:
     """Delta rows with the place of their group by falling segment number."""
-    index = intervals.dense_index(t.segments.select("room", "sg", (-F.col("segment")).alias("ordering")))
-    return intervals.ordered_lookup(t.history.deltas, index)
+
+    def dealt(history: histories.History, index: DataFrame) -> DataFrame:
+        falling = t.segments.join(index, ["room", "sg"], "left_semi").select("room", "sg", (-F.col("segment")).alias("ordering"))
+        return intervals.ordered_lookup(history.deltas, intervals.dense_index(falling))
+
+    return t.by_room(lambda packed, _: rooms.ordered_lookup(packed), dealt, packed=True)
 
 
 @query
@@ -271,7 +281,7 @@ def range_assign(t: Lake) -> DataFrame:
 @query
 def ordering_writeback(t: Lake) -> DataFrame:
     """The groups by falling segment number, with paired ids."""
-    return ordering.by_ids(t.segments.select("room", "sg", (-F.col("segment")).alias("ordering")))
+    return t.by_signatures(rooms.written_back, lambda hashes: ordering.by_ids(segments.labels(hashes).select("room", "sg", (-F.col("segment")).alias("ordering"))))
 
 
 @query
@@ -291,7 +301,12 @@ def dag_gaps(t: Lake) -> DataFrame:
 
 @query
 def compression_summary(t: Lake) -> DataFrame:
-    found = diagnostics.summary(t.history.deltas, t.sizes, t.runs)
+
+    def dealt(history: histories.History, index: DataFrame) -> DataFrame:
+        state = stage(t._state(history), "large-states")
+        return diagnostics.compression(history.deltas, state, intervals.encode(state, index)).drop("ratio")
+
+    found = t.by_room(lambda packed, _: rooms.summary(packed), dealt, packed=True).withColumn("ratio", F.col("intervals") / F.col("delta_rows"))
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -345,10 +360,9 @@ def order_topological(t: Lake) -> DataFrame:
 @query
 def order_comparison(t: Lake) -> DataFrame:
     """Interval rows of all rooms under each ordering."""
-    counts = t.counted(SOLVERS, COLONY).select("ordering", "intervals")
-    topological = t.encoded(intervals.dense_index(order_topological(t))).agg(F.count(F.lit(1)).alias("intervals")).select(F.lit("topological").alias("ordering"), "intervals")
+    counts = t.counted(SOLVERS, COLONY, topological=True)
     names = t.spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("chronological", "topological", "branches", "hilbert", *SOLVERS)))).alias("ordering"))
-    sums = counts.unionByName(topological).groupBy("ordering").agg(F.sum("intervals").alias("intervals"))
+    sums = counts.groupBy("ordering").agg(F.sum("intervals").alias("intervals"))
     return names.join(sums, "ordering", "left").select("ordering", F.coalesce("intervals", F.lit(0).cast("long")).alias("intervals"))
 
 
