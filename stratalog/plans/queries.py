@@ -122,10 +122,19 @@ def asof_recursive(t: Lake) -> DataFrame:
 @query
 def asof_tables(t: Lake) -> DataFrame:
     """The same from the three input tables, by the nearest ancestor."""
-    h = histories.from_tables(*histories.to_tables(t.history))
-    points = _group_points(t).withColumnRenamed("point", "sg")
-    found = resolve.full_state(h, resolve.closure(h, starts=points))
-    return found.select("room", F.col("sg").alias("point"), F.col("event").cast("long").alias("event"))
+
+    def whole(packed: histories.Packed, _: None) -> DataFrame:
+        at = F.array_distinct(F.array(*(F.floor(F.size("sg") * k / 4) for k in (1, 2, 3)))).alias("idx")
+        points = packed.rows.select("room", "sg", F.explode(at).alias("idx")).select("room", F.get("sg", F.col("idx").cast("int")).alias("sg"), "idx")
+        h = histories.from_tables(*histories.to_tables(rooms.unpacked(packed)))
+        return rooms.states_of(h, points).select("room", F.col("sg").alias("point"), F.col("event").cast("long").alias("event"))
+
+    def dealt(history: histories.History, index: DataFrame) -> DataFrame:
+        h = histories.from_tables(*histories.to_tables(history))
+        found = resolve.full_state(h, resolve.closure(h, starts=t.asked(index, _quarters)))
+        return found.select("room", F.col("sg").alias("point"), F.col("event").cast("long").alias("event"))
+
+    return t.by_room(whole, dealt, packed=True)
 
 
 @query
