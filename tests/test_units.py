@@ -51,6 +51,18 @@ def test_ants_take_the_next_id_where_all_is_lost_and_log_their_way():
     assert all(a[2] >= b[2] for a, b in zip(log, log[1:]))
 
 
+def test_ants_draw_in_proportion_to_the_pull_of_their_unvisited_nodes():
+    rng = np.random.default_rng(5)
+    pull = rng.random((4, 4)) + 0.1
+    race = rng.standard_exponential(1 << 20, dtype=np.float32)
+    tours = np.hstack([solvers._raced((1 / pull).astype(np.float32), np.full(1000, 2), rng, race) for _ in range(40)])
+    assert (np.sort(tours, 0) == np.arange(4)[:, None]).all()
+    free = [0, 1, 3]
+    assert np.allclose(np.bincount(tours[1], minlength=4)[free] / 40000, pull[2, free] / pull[2, free].sum(), atol=0.02)
+    second = tours[2][tours[1] == 0]
+    assert np.isclose((second == 1).mean(), pull[0, 1] / (pull[0, 1] + pull[0, 3]), atol=0.02)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 25])
 def test_solvers_return_permutations(n):
     d = np.random.default_rng(n).integers(0, 9, (n, n))
